@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, exact_dedup, mixing, token_counts
+from factorloom.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_counts
 from factorloom.session import table
 
 
@@ -32,11 +32,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_codes(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_embeddings": op10_embeddings,
 }
 
 _NO_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
