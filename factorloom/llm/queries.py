@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, token_counts
+from factorloom.llm import bpe, embedding_dedup, exact_dedup, lm_score, mixing, quality, simhash, token_counts
 from factorloom.session import table
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_codes(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -42,8 +50,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
