@@ -64,7 +64,7 @@ class Features(dict):
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from labels(doc_id, quality, toxic); nulls are left out, of several ratings the lowest counts."""
+    """(doc_id, grade) from labels(doc_id, quality, toxic); rows that nulls leave undecided are left out, of several ratings the lowest counts."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     return labels.select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, embedding_dedup, exact_dedup, lm_score, mixing, quality, simhash, token_counts
+from factorloom.llm import bpe, embedding_dedup, exact_dedup, html_text, lm_score, mixing, quality, simhash, token_counts
 from factorloom.session import table
 
 
@@ -40,6 +40,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_codes(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_embeddings": op10_embeddings,
 }
