@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, embedding_dedup, exact_dedup, html_text, lm_score, mixing, quality, simhash, token_counts
+from factorloom.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, lm_score, mixing, quality, simhash, token_counts
 from factorloom.session import table
 
 
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "text", "n_lines", "n_deleted")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
