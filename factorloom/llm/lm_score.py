@@ -41,9 +41,15 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 0)
 
 
-def _lists(arrays: list) -> pd.Series:
-    """A column of arrays; without the type an empty one would become numbers."""
-    return pd.Series(arrays, dtype=object)
+def pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit numbers (of a rising row the steps) by byte place, where the shuffle's compression finds their empty bytes."""
+    steps = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    return steps.astype(values.dtype).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -56,38 +62,39 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def corpus_size(docs: DataFrame) -> tuple[int, int, int]:
     """(characters of all texts, N training tokens, V distinct training tokens); ends count as a token."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
+        sums = np.zeros(3, np.int64)
 
-        def flush(chars: int, tokens: int, ends: int) -> pd.DataFrame:
-            keys = np.array([word_key(w) for w in seen], dtype=np.uint64).view(np.int64)
+        def flush() -> pd.DataFrame:
+            keys = np.unique(np.fromiter(map(word_key, seen), dtype=np.uint64, count=len(seen)))
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            rows = [(p, pack(keys[part == p], True), 0, 0, 0) for p in np.unique(part).tolist()] + [(0, b"", *sums.tolist())]
             seen.clear()
-            return pd.DataFrame({"keys": _lists([keys]), "chars": [chars], "tokens": [tokens], "ends": [ends]})
+            sums[:] = 0
+            return pd.DataFrame(rows, columns=["part", "keys", "chars", "tokens", "texts"])
 
         for batch in batches:
-            chars = tokens = ends = 0
             for text, held in zip(batch["text"], batch["held_out"], strict=True):
-                chars += len(text or "")
+                sums[0] += len(text or "")
                 if not held:
                     words = lower_words(text)
                     seen.update(words)
-                    tokens += len(words) + 1
-                    ends += 1
+                    sums[1:] += len(words) + 1, 1
                     if len(seen) > FLUSH_WORDS:
-                        yield flush(chars, tokens, ends)
-                        chars = tokens = ends = 0
-            yield pd.DataFrame({"keys": _lists([np.zeros(0, np.int64)]), "chars": [chars], "tokens": [tokens], "ends": [ends]})
-        yield flush(0, 0, 0)
+                        yield flush()
+        yield flush()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([unpack(k, np.uint64, True) for k in rows["keys"]])
+        return pd.DataFrame({"words": [len(np.unique(keys))], **{c: [rows[c].sum()] for c in ("chars", "tokens", "texts")}})
 
-    rows = docs.mapInPandas(gather, "keys array<long>, chars long, tokens long, ends long")
-    # one row a distinct word and task, and the sums beside them
-    each = rows.select(F.posexplode_outer("keys").alias("p", "key"), "chars", "tokens", "ends")
-    first = F.coalesce(F.col("p"), F.lit(0)) == 0
-    sums = [F.sum(F.when(first, F.col(c)).otherwise(0)).alias(c) for c in ("chars", "tokens", "ends")]
-    by_key = each.groupBy("key").agg(*sums)
-    got = by_key.agg(F.sum("chars"), F.sum("tokens"), F.sum("ends"), F.count("key")).first()
-    return int(got[0] or 0), int(got[1] or 0), int(got[3]) + (1 if got[2] else 0)
+    found = docs.mapInPandas(gather, "part long, keys binary, chars long, tokens long, texts long")
+    found = found.groupBy("part").applyInPandas(merge, "words long, chars long, tokens long, texts long")
+    got = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "tokens", "words", "texts")]).first()
+    return int(got[0]), int(got[1]), int(got[2]) + (1 if got[3] else 0)
 
 
 class Block:
@@ -196,30 +203,30 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, mu: float = MU, b
         keys, own = keys[order], own[order]
         part = (keys >> shift).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
         cuts = np.searchsorted(part, np.arange(1, parts))
-        some = [(i, k, c) for i, (k, c) in enumerate(zip(np.split(keys.view(np.int64), cuts), np.split(own.astype(np.int32), cuts), strict=True)) if len(k)]
-        return pd.DataFrame({"part": [x[0] for x in some], "block": key[0], "keys": _lists([x[1] for x in some]), "counts": _lists([x[2] for x in some])})
+        some = [(i, k, c) for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(own, cuts), strict=True)) if len(k)]
+        return pd.DataFrame({"part": [x[0] for x in some], "block": key[0], "keys": [pack(x[1], True) for x in some], "counts": [pack(x[2]) for x in some]})
 
     def answer(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(k) for k in sent["keys"]]
-        keys = np.concatenate(list(sent["keys"])).view(np.uint64)
-        own = np.concatenate(list(sent["counts"])).astype(np.int64)
+        sizes = [len(k) // 8 for k in sent["keys"]]
+        keys = np.concatenate([unpack(k, np.uint64, True) for k in sent["keys"]])
+        own = np.concatenate([unpack(c, np.int64) for c in sent["counts"]])
         block = np.repeat(sent["block"].to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         keys, own, block = keys[order], own[order], block[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         total = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(keys))))
         more = total > own
-        keys, extra, block = keys[more].view(np.int64), (total - own)[more], block[more]
+        keys, extra, block = keys[more], (total - own)[more], block[more]
         order = np.argsort(block, kind="stable")
         names, at = np.unique(block[order], return_index=True)
-        if not len(names):
-            return pd.DataFrame({"block": names, "keys": _lists([]), "extra": _lists([])})
-        return pd.DataFrame({"block": names, "keys": _lists(np.split(keys[order], at[1:])), "extra": _lists(np.split(extra[order], at[1:]))})
+        cuts = at[1:] if len(names) else []
+        rows = list(zip(names, np.split(keys[order], cuts), np.split(extra[order], cuts), strict=False))
+        return pd.DataFrame({"block": [r[0] for r in rows], "keys": [pack(r[1], True) for r in rows], "extra": [pack(r[2]) for r in rows]})
 
     def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block = Block(texts["text"], texts["held_out"])
-        keys = np.concatenate([np.zeros(0, np.int64), *answers["keys"]]).view(np.uint64)
-        extra = np.concatenate([np.zeros(0, np.int64), *answers["extra"]])
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k, np.uint64, True) for k in answers["keys"]]])
+        extra = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in answers["extra"]]])
         order = np.argsort(keys)
         words, pairs = block.totals(keys[order], extra[order])
         model = Automaton(block, words, pairs, tokens, distinct, mu)
@@ -235,7 +242,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, mu: float = MU, b
             "score": model.traverse(block),
         })
 
-    sent = dealt.groupBy("block").applyInPandas(count, "part int, block int, keys array<long>, counts array<int>")
-    answers = sent.groupBy("part").applyInPandas(answer, "block int, keys array<long>, extra array<long>")
+    sent = dealt.groupBy("block").applyInPandas(count, "part int, block int, keys binary, counts binary")
+    answers = sent.groupBy("part").applyInPandas(answer, "block int, keys binary, extra binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
