@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from factorloom.session import free_name
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 MIN_ROWS = 20
 STEPS, RATE, MOMENTUM, DAMP, SPARSE = 200, 0.05, 0.8, 0.01, 0.0015
 SELECT_AT = 0.5
@@ -93,20 +93,27 @@ class CumulativeLink:
         full = np.zeros(BUCKETS)
         if len(set(grade.tolist())) < 2:
             return cls(full, cuts)
-        col = np.concatenate(rows)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        often = np.bincount(col, minlength=BUCKETS) >= min(MIN_ROWS, max(1, len(rows) // 50))
-        col, row = col[often[col]], row[often[col]]
-        names, col = np.unique(col, return_inverse=True)
-        rate = RATE / (np.bincount(col, minlength=len(names)) / len(rows) + DAMP)
-        w, move, cut_move = np.zeros(len(names)), np.zeros(len(names)), np.zeros(2)
+        df = np.zeros(BUCKETS, np.int32)
+        for r in rows:
+            df[r] += 1
+        number = np.full(BUCKETS, -1, np.int32)
+        names = np.flatnonzero(df >= min(MIN_ROWS, max(1, len(rows) // 50)))
+        number[names] = np.arange(len(names), dtype=np.int32)
+        # every row ends with a feature of weight 0, so that none is empty; then the same by feature
+        col = [np.append(c[c >= 0], np.int32(len(names))) for c in (number[r] for r in rows)]
+        starts = np.cumsum([0, *map(len, col[:-1])])
+        col = np.concatenate(col)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(np.append(starts, len(col))))[np.argsort(col, kind="stable")]
+        firsts = np.concatenate([[0], np.cumsum(df[names])])
+        rate = np.append(RATE / (df[names] / len(rows) + DAMP), 0.0)
+        w, move, cut_move = np.zeros(len(rate)), np.zeros(len(rate)), np.zeros(2)
         for _ in range(STEPS):
-            z = np.bincount(row, weights=w[col], minlength=len(rows))
+            z = np.add.reduceat(w[col], starts)
             high = np.where(grade < 2, _sigmoid(cuts[np.minimum(grade, 1)] - z), 1.0)
             low = np.where(grade > 0, _sigmoid(cuts[np.maximum(grade - 1, 0)] - z), 0.0)
             p = np.maximum(high - low, 1e-9)
             up, down = high * (1 - high) / p, low * (1 - low) / p  # slopes of -log p at either cut
-            slope = np.bincount(col, weights=(up - down)[row], minlength=len(names)) / len(rows)
+            slope = np.add.reduceat((up - down)[row], firsts) / len(rows)
             cut_slope = np.array([(down * (grade == k + 1) - up * (grade == k)).mean() for k in (0, 1)])
             move = MOMENTUM * move - rate * slope
             cut_move = MOMENTUM * cut_move - 0.2 * cut_slope
@@ -114,7 +121,7 @@ class CumulativeLink:
             w = np.sign(w) * np.maximum(np.abs(w) - rate * SPARSE, 0)
             move[w == 0] = 0
             cuts = np.sort(cuts + cut_move)
-        full[names] = w
+        full[names] = w[:-1]
         return cls(full, cuts)
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
