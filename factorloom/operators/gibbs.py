@@ -198,6 +198,11 @@ class Block:
 _STATE = "copy int, block long, kind string, id long, a long, b long, x double"
 
 
+def block_count(graph: FactorGraph, factors_per_block: int = 100_000) -> int:
+    """Blocks for a graph: one while its factors fit a task, so that learning sees all evidence at once, else as its size asks."""
+    return max(1, -(-graph.factors.count() // factors_per_block))
+
+
 def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(variables, factors) rows with copy and block."""
     spark = graph.variables.sparkSession
@@ -218,7 +223,11 @@ def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) ->
 
 
 def run_gibbs(graph: FactorGraph, config: GibbsConfig, n_blocks: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights(wid, w), tallies(vid, dense, n), nsamples(vid, n)) after learning and then inference from its state."""
+    """(weights(wid, w), tallies(vid, dense, n), nsamples(vid, n)) after learning and then inference from its state.
+
+    Blocks and copies average their weights every epochs_per_sync epochs; unless given that is a
+    twentieth of all epochs with several blocks, which see unlike evidence, and once with a single one.
+    """
     scratch = Scratch(graph.variables.sparkSession, "gibbs")
     copies = max(1, config.n_datacopy)
     variables, factors = _blocks(graph, n_blocks, copies, scratch)
@@ -245,8 +254,9 @@ def run_gibbs(graph: FactorGraph, config: GibbsConfig, n_blocks: int = 8) -> tup
         return scratch.keep(vs.groupBy("copy", "block").cogroup(fs.groupBy("copy", "block")).applyInPandas(run, _STATE))
 
     left, step, turn = -(-config.n_learning_epoch // copies), config.first_step, 0
+    between = config.epochs_per_sync or (left if n_blocks == 1 else max(1, left // 20))
     while left > 0:
-        epochs = min(left, config.epochs_per_sync or left)
+        epochs = min(left, between)
         out = over_blocks(variables, weights, task("learn", epochs, step, turn))
         learned = average_weights(out.where("kind = 'w'").select(F.struct("copy", "block").alias("copy"), F.col("id").alias("wid"), F.col("x").alias("w")))
         weights = scratch.keep(weights.withColumnRenamed("w", "old").join(learned, "wid", "left").select("wid", F.coalesce("w", "old").alias("w")))
