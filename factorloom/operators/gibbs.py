@@ -31,21 +31,39 @@ def component_of(graph: FactorGraph) -> DataFrame:
     return graph.variables.select("vid").join(found, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
 
 
-def value_counts(fun: np.ndarray, sat: np.ndarray, arity: np.ndarray) -> np.ndarray:
-    """Factor function of each row of sat, whose columns past arity are padding."""
+NAMES = {code: name for name, code in FUNCTIONS.items()}
+
+
+def _function(name: str, sat: np.ndarray, arity: np.ndarray) -> np.ndarray:
+    """One factor function over rows of sat, whose columns past arity are padding."""
     at = np.arange(sat.shape[1])[None, :]
-    inside, inner = at < arity[:, None], at < arity[:, None] - 1
-    head = sat[np.arange(len(sat)), arity - 1]
-    body, every, some = (sat | ~inner).all(1), (sat | ~inside).all(1), (sat & inside).any(1)
+    inside = at < arity[:, None]
+    if name in ("and", "istrue", "and_categorical"):
+        every = (sat | ~inside).all(1)
+        return every.astype(float) if name == "and_categorical" else np.where(every, 1.0, -1.0)
+    if name == "or":
+        return np.where((sat & inside).any(1), 1.0, -1.0)
+    if name == "equal":
+        return np.where((sat | ~inside).all(1) | ~(sat & inside).any(1), 1.0, -1.0)
+    inner, head = at < arity[:, None] - 1, sat[np.arange(len(sat)), arity - 1]
+    if name in ("imply_natural", "imply_mln"):
+        body = (sat | ~inner).all(1)
+        return np.where(body, np.where(head, 1.0, -1.0), 0.0) if name == "imply_natural" else np.where(body & ~head, 0.0, 1.0)
     rules = np.where(arity == 1, head, ((~sat | head[:, None]) & inner).sum(1))
-    same = every | ~some
+    return {"linear": lambda: rules.astype(float), "ratio": lambda: np.log2(1.0 + rules), "logical": lambda: (rules > 0).astype(float)}[name]()
+
+
+def function_rows(fun: np.ndarray) -> list[tuple[str, np.ndarray | slice]]:
+    """(function, its rows) for the functions that occur."""
+    codes = np.unique(fun)
+    return [(NAMES[c], slice(None) if len(codes) == 1 else np.flatnonzero(fun == c)) for c in codes.tolist()]
+
+
+def value_counts(fun: np.ndarray, sat: np.ndarray, arity: np.ndarray, groups: list | None = None) -> np.ndarray:
+    """Factor function of each row."""
     out = np.zeros(len(sat))
-    cases = {
-        "imply_natural": np.where(body, np.where(head, 1, -1), 0), "or": np.where(some, 1, -1), "and": np.where(every, 1, -1), "istrue": np.where(every, 1, -1),
-        "equal": np.where(same, 1, -1), "linear": rules, "ratio": np.log2(1 + rules), "logical": rules > 0, "and_categorical": every, "imply_mln": ~body | head,
-    }
-    for name, code in FUNCTIONS.items():
-        out = np.where(fun == code, cases[name], out)
+    for name, rows in function_rows(fun) if groups is None else groups:
+        out[rows] = _function(name, sat[rows], arity[rows])
     return out
 
 
@@ -115,9 +133,13 @@ class Block:
             start = np.concatenate([[0], np.cumsum(self.card[some])])
             value = np.arange(len(var)) - np.repeat(start[:-1], self.card[some])
             out, f = self.slot_rows(self.first[var] + np.where(self.cat[var], value, 0))
-            self.rows[key] = (var, start, value, out, f)
-        var, start, value, out, f = self.rows[key]
-        pot = np.bincount(out, weights=self.values(f, state, var[out], value[out]) * self.w[self.wat[f]], minlength=len(var))
+            at, eq = self.at[f], self.eq[f]
+            own = at == var[out][:, None]
+            # what doesn't depend on the state: own positions are met or not, and of what weight each row is
+            self.rows[key] = (start, out, at, np.where(own, -2, eq), own & (value[out][:, None] == eq), self.arity[f], function_rows(self.fun[f]), self.feature[f], self.wat[f])
+        start, out, at, eq, met, arity, groups, feature, weight = self.rows[key]
+        values = value_counts(None, (state[at] == eq) | met, arity, groups)
+        pot = np.bincount(out, weights=values * feature * self.w[weight], minlength=start[-1])
         sizes = np.diff(start)
         e = np.exp(pot - np.repeat(np.maximum.reduceat(pot, start[:-1]), sizes))
         return self._choose(e, start, np.add.reduceat(e, start[:-1]))
