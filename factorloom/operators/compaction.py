@@ -19,14 +19,16 @@ def clamped_logit(mean: Column) -> Column:
 
 
 def covariances(samples: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, vid_i, vid_j, cov) for pairs of variables of a component that are ever 1 together or alone, vid_i <= vid_j."""
+    """(component, vid_i, vid_j, cov) for all pairs of a component with vid_i <= vid_j; a sample without a row for a variable has it at 0."""
     rows = samples.join(components, "vid")
     n = samples.agg(F.count_distinct("sample").alias("n"))
-    mean = sample_means(samples)
+    mean = rows.groupBy("vid").agg(F.sum("value").alias("s")).join(n).select("vid", (F.col("s") / F.col("n")).alias("mean"))
     both = rows.alias("a").join(rows.alias("b"), ["sample", "component"]).where("a.vid <= b.vid")
-    both = both.groupBy("component", F.col("a.vid").alias("vid_i"), F.col("b.vid").alias("vid_j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("s"))
-    both = both.join(mean.select(F.col("vid").alias("vid_i"), F.col("mean").alias("mi")), "vid_i").join(mean.select(F.col("vid").alias("vid_j"), F.col("mean").alias("mj")), "vid_j")
-    return both.join(n).select("component", "vid_i", "vid_j", (F.col("s") / F.col("n") - F.col("mi") * F.col("mj")).alias("cov"))
+    both = both.groupBy(F.col("a.vid").alias("vid_i"), F.col("b.vid").alias("vid_j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("s"))
+    known = components.join(mean, "vid")
+    pairs = known.select("component", F.col("vid").alias("vid_i"), F.col("mean").alias("mi")).join(known.select("component", F.col("vid").alias("vid_j"), F.col("mean").alias("mj")), "component")
+    pairs = pairs.where("vid_i <= vid_j").join(both, ["vid_i", "vid_j"], "left").join(n)
+    return pairs.select("component", "vid_i", "vid_j", (F.coalesce("s", F.lit(0)) / F.col("n") - F.col("mi") * F.col("mj")).alias("cov"))
 
 
 def _best_steps(c: np.ndarray, w: np.ndarray, a: np.ndarray, penalty: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:

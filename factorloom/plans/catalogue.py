@@ -407,12 +407,24 @@ def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("wid").alias("fid"), F.explode("vifs").alias("e"), F.col("feature_value").cast("bigint").alias("wid")).select("fid", "e.pos", "e.vid", "e.equal_to", "wid")
 
 
+@query("""WITH x AS (SELECT l_orderkey AS s, l_suppkey AS vid, max((l_returnflag = 'R')::INT) AS v FROM lineitem GROUP BY ALL),
+    n AS (SELECT count(DISTINCT s) AS n FROM x), k AS (SELECT s_suppkey AS vid, s_nationkey::BIGINT AS component, sum(v) / any_value(n) AS mean FROM x JOIN supplier ON s_suppkey = vid, n GROUP BY ALL),
+    b AS (SELECT a.vid AS vid_i, b.vid AS vid_j, sum(a.v * b.v) AS s FROM x a JOIN x b USING (s) GROUP BY ALL)
+    SELECT i.component, i.vid AS vid_i, j.vid AS vid_j, round(coalesce(s, 0) / n - i.mean * j.mean, 6) + 0.0::DOUBLE AS cov
+    FROM k i JOIN k j ON i.component = j.component AND i.vid <= j.vid LEFT JOIN b ON b.vid_i = i.vid AND b.vid_j = j.vid, n""")
+def component_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covariances(spark, sf_dir).select("component", "vid_i", "vid_j", six("cov"))
+
+
+def _covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vid"), F.col("s_nationkey").cast("bigint").alias("component"))
+    return compaction.covariances(_samples(spark, sf_dir).groupBy("sample", "vid").agg(F.max("value").alias("value")), suppliers)
+
+
 @query()
 def sinco_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverse covariances of returned parts within each nation's suppliers."""
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vid"), F.col("s_nationkey").cast("bigint").alias("component"))
-    cov = compaction.covariances(_samples(spark, sf_dir).groupBy("sample", "vid").agg(F.max("value").alias("value")), suppliers)
-    return compaction.inverse_covariances(cov, lambdas=(0.5, 0.1))
+    return compaction.inverse_covariances(_covariances(spark, sf_dir), lambdas=(0.5, 0.1))
 
 
 def queries() -> dict:
