@@ -3,7 +3,7 @@
 Grades are ordered: 0 poor, 1 well written but toxic, 2 good. All grades share one weight vector over
 hashed text features, and ordered thresholds cut the score: P(grade <= k) = sigmoid(t_k - w.x). The
 expected grade and the tail probability P(grade = 2) come from that; rows with a tail probability of
-at least 0.5 are selected.
+at least SELECT_AT are selected.
 
 The model is fitted on at most TRAIN_ROWS labelled rows (the smallest hashes of doc_id, spread over
 all labels); their hashed features, not their texts, go to the driver. Scoring reads every whole
@@ -26,8 +26,8 @@ from factorloom.session import free_name
 BUCKETS = 1 << 18
 TRAIN_ROWS = 8_000
 MIN_ROWS = 20
-STEPS, RATE, MOMENTUM, DAMP, SPARSE = 200, 0.05, 0.8, 0.01, 0.0015
-SELECT_AT = 0.5
+STEPS, RATE, MOMENTUM, DAMP, SPARSE = 200, 0.1, 0.8, 0.01, 0.0015
+SELECT_AT = 0.6
 _CACHE_WORDS = 200_000
 SCORED = "p0 double, p1 double, p2 double, expected_grade double, tail_prob double"
 
