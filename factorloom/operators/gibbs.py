@@ -227,7 +227,6 @@ def block_count(graph: FactorGraph, factors_per_block: int = 100_000) -> int:
 
 def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(variables, factors) rows with copy and block."""
-    spark = graph.variables.sparkSession
     parts = component_of(graph).select("vid", F.pmod(F.xxhash64("component"), F.lit(n_blocks)).alias("block"))
     truth = domain_values(graph).groupBy("vid").agg(F.transform(F.sort_array(F.collect_list(F.struct("dense", "truthiness"))), lambda x: x["truthiness"]).alias("truth"))
     start = initial_assignment(graph).withColumnRenamed("dense", "init")
@@ -240,8 +239,8 @@ def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) ->
     at = edges(graph).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "equal_dense"))).alias("at"))
     facts = graph.factors.select("fid", "func", "wid", "feature_value").join(at, "fid").withColumn("vid", F.col("at")[0]["vid"]).join(parts, "vid")
     facts = facts.join(graph.weights.select("wid", "is_fixed"), "wid").select("block", "func", "wid", "is_fixed", "feature_value", F.col("at.vid").alias("vids"), F.col("at.equal_dense").alias("eqs"))
-    each = spark.range(copies).select(F.col("id").cast("int").alias("copy"))
-    return scratch.keep(variables.crossJoin(F.broadcast(each))), scratch.keep(facts.crossJoin(F.broadcast(each)))  # a row for each copy
+    each = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    return scratch.keep(variables.select("*", each)), scratch.keep(facts.select("*", each))
 
 
 def run_gibbs(graph: FactorGraph, config: GibbsConfig, n_blocks: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.schema import FUNCTIONS
@@ -27,10 +27,9 @@ def dense_ids(df: DataFrame, name: str) -> DataFrame:
     """Adds 0 .. n-1 in the order of partitions and rows. Only a count per partition is put together."""
     kept = Scratch(df.sparkSession, "ids").keep(df.withColumn("_at", F.monotonically_increasing_id()))
     kept = kept.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     counts = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    ahead = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part", "a._first").agg(
-        F.coalesce(F.sum("b._n"), F.lit(0)).alias("_ahead")
-    )
+    ahead = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     return kept.join(ahead, "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_ahead")).drop("_at", "_part", "_first", "_ahead")
 
 
@@ -144,3 +143,23 @@ def write_results(weights: DataFrame, probs: DataFrame, path: str) -> None:
     if probs is not None:
         line = F.concat_ws(" ", F.col("vid").cast("string"), F.col("value").cast("string"), six("prob"))
         probs.orderBy("vid", "value").select(line.alias("value")).write.mode("overwrite").text(f"{path}/inference_result.out.text")
+
+
+def read_components(spark: SparkSession, path: str) -> DataFrame:
+    """(component, vid) from lines of vids; a component is named by its smallest vid."""
+    vids = _fields(spark, path, r"\s+").select(F.transform("f", lambda x: number(x)).alias("vids"))
+    return vids.select(F.array_min("vids").alias("component"), F.explode("vids").alias("vid"))
+
+
+def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(sample, vid, value) from one file per sample with lines `vid value`."""
+    rows = None
+    for i, path in enumerate(paths):
+        part = _fields(spark, path, r"\s+").select(F.lit(i).cast("bigint").alias("sample"), number(F.col("f")[0]).alias("vid"), number(F.get("f", F.lit(1))).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def write_compact(weights: DataFrame, path: str) -> None:
+    """Lines `vid_i vid_j weight` of a compacted graph."""
+    weights.orderBy("vid_i", "vid_j").select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("vid_i", "vid_j", "weight")]).alias("value")).write.mode("overwrite").text(path)

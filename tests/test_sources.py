@@ -143,3 +143,12 @@ def test_compaction(spark):
     parts = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "vid bigint, component bigint")
     cov = {(r.vid_i, r.vid_j): round(r.cov, 6) for r in compaction.covariances(samples, parts).collect()}
     assert cov == {(0, 0): 0.25, (0, 1): -0.25, (1, 1): 0.25, (2, 2): 0.0}
+
+
+def test_compaction_files(spark, tmp_path):
+    parts = text.read_components(spark, write(tmp_path / "c", "3 1 2", "9"))
+    assert sorted(map(tuple, parts.collect())) == [(1, 1), (1, 2), (1, 3), (9, 9)]
+    samples = text.read_samples(spark, [write(tmp_path / "s0", "1 0", "2 1"), write(tmp_path / "s1", "1 1", "2 1")])
+    assert sorted(map(tuple, samples.collect())) == [(0, 1, 0), (0, 2, 1), (1, 1, 1), (1, 2, 1)]
+    text.write_compact(samples.selectExpr("vid as vid_i", "vid as vid_j", "avg(value) over (partition by vid) as weight").distinct(), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1 1 0.5", "2 2 1.0"]
