@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_made: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,16 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is made, and the
-    setting is recorded so that later calls use the same one.
+    Only where the session names none (tests on one machine) a temporary folder is made, one for
+    each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        name = spark.sparkContext.applicationId
+        found = _made.get(name) or _made.setdefault(name, tempfile.mkdtemp(prefix="factorloom-"))
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries built and run inside leave no shuffle files behind; for results that are collected and small."""
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(flag, before) if before is not None else spark.conf.unset(flag)
+
+
 class Scratch:
     """Tables written once under the shared folder and read back, so lineage ends there.
 
