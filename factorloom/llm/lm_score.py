@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.words import lower_words
+from factorloom.session import shuffles_dropped
 
 #: Weight of the lower order in words; see the README for how held-out texts fare under others.
 MU = 1000.0
@@ -91,9 +92,10 @@ def corpus_size(docs: DataFrame) -> tuple[int, int, int]:
         keys = np.concatenate([unpack(k, np.uint64, True) for k in rows["keys"]])
         return pd.DataFrame({"words": [len(np.unique(keys))], **{c: [rows[c].sum()] for c in ("chars", "tokens", "texts")}})
 
-    found = docs.mapInPandas(gather, "part long, keys binary, chars long, tokens long, texts long")
-    found = found.groupBy("part").applyInPandas(merge, "words long, chars long, tokens long, texts long")
-    got = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "tokens", "words", "texts")]).first()
+    with shuffles_dropped(docs.sparkSession):
+        found = docs.mapInPandas(gather, "part long, keys binary, chars long, tokens long, texts long")
+        found = found.groupBy("part").applyInPandas(merge, "words long, chars long, tokens long, texts long")
+        got = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "tokens", "words", "texts")]).first()
     return int(got[0]), int(got[1]), int(got[2]) + (1 if got[3] else 0)
 
 
