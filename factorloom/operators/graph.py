@@ -52,7 +52,13 @@ def all_values(graph: FactorGraph) -> DataFrame:
 
 
 def dense_of(rows: DataFrame, graph: FactorGraph, value: str) -> DataFrame:
-    """Adds dense to rows(vid, <value>) by an equi-join on (vid, value); null where a domain lacks the value."""
+    """Adds dense to rows(vid, <value>); null where a domain lacks the value.
+
+    Without given domains every value is its own number and nothing is joined (`violations` reports
+    values beyond a cardinality); else it is an equi-join on (vid, value).
+    """
+    if graph.domains is None:
+        return rows.withColumn("dense", F.when(F.col(value) >= 0, F.col(value)))
     lookup = all_values(graph).select("vid", F.col("value").alias(value), "dense")
     return rows.join(lookup, ["vid", value], "left")
 
@@ -96,7 +102,7 @@ def violations(graph: FactorGraph) -> DataFrame:
         bad = (F.col("n") != F.col("d")) | ((F.col("n") > 0) & ((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)))
         return counts.select(F.lit(f"{name}_ids").alias("check"), bad.cast("bigint").alias("n"))
 
-    flat = graph.factors.select("fid", F.explode("vifs").alias("e")).select(F.col("e.vid").alias("vid"))
+    flat = graph.factors.select("fid", F.explode("vifs").alias("e")).select(F.col("e.vid").alias("vid"), F.col("e.equal_to").alias("equal_to"))
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
     found = [
         ids(graph.variables, "vid", "variable"), ids(graph.weights, "wid", "weight"), ids(graph.factors, "fid", "factor"),
@@ -105,7 +111,12 @@ def violations(graph: FactorGraph) -> DataFrame:
         count(graph.factors.where((F.col("arity") < 1) | (F.size("vifs") != F.col("arity"))), "arity"),
         count(graph.variables.where(~F.col("dtype").isin(0, 1)), "variable_type"),
     ]
-    if graph.domains is not None:
+    if graph.domains is None:
+        beyond = flat.join(graph.variables.select("vid", "cardinality"), "vid").where((F.col("equal_to") < 0) | (F.col("equal_to") >= F.col("cardinality")))
+        found.append(count(beyond, "edge_value"))
+    else:
+        known = dense_of(flat, graph, "equal_to").join(graph.variables.select("vid"), "vid", "left_semi")
+        found.append(count(known.where("dense is null"), "edge_value"))
         vals = graph.domains.join(graph.variables.select("vid", "dtype", F.col("cardinality").alias("c")), "vid")
         wrong = (F.col("dtype") != CATEGORICAL) | (F.col("cardinality") != F.col("c")) | (F.size("vals") != F.col("c"))
         found.append(count(vals.where(wrong), "domain_shape"))

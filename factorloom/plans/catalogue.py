@@ -100,7 +100,7 @@ def graph_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH """ + CONV + """, f AS (SELECT DISTINCT fid FROM ce),
     b(name, n) AS (SELECT 'variable_ids', (count(*) <> max(vid) + 1 OR min(vid) <> 0)::BIGINT FROM cv UNION ALL SELECT 'weight_ids', 0
         UNION ALL SELECT 'factor_ids', (count(*) <> max(fid) + 1 OR min(fid) <> 0)::BIGINT FROM f UNION ALL SELECT 'dangling_variable', count(*) FROM ce WHERE vid NOT IN (SELECT vid FROM cv)
-        UNION ALL SELECT 'dangling_weight', count(*) FROM ce WHERE wid NOT IN (SELECT wid FROM cw) UNION ALL SELECT unnest(['arity', 'variable_type', 'domain_shape', 'truthiness']), 0)
+        UNION ALL SELECT 'dangling_weight', count(*) FROM ce WHERE wid NOT IN (SELECT wid FROM cw) UNION ALL SELECT unnest(['arity', 'variable_type', 'edge_value', 'domain_shape', 'truthiness']), 0)
     SELECT name AS "check", n::BIGINT AS n FROM b""")
 def safety_check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.violations(ground.conversations_graph(spark, sf_dir))
