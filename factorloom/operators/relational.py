@@ -7,48 +7,59 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.draws import draw_boolean, draw_by_cdf, softmax, uniform
 from factorloom.functions.factors import factor_value
-from factorloom.operators.graph import FactorGraph, all_values, domain_values, edges, evidence, trainable, value_factor_index
+from factorloom.operators.graph import FactorGraph, all_values, dense_of, domain_values, evidence, initial_assignment, trainable, value_factor_index
 from factorloom.schema import CATEGORICAL, TRUTH_EPSILON
 
 
-def factor_sat(graph: FactorGraph, assignment: DataFrame) -> DataFrame:
-    """(fid, sat array<struct<pos, vid, equal_dense, now>>): each factor's positions with the assigned values."""
-    state = assignment.select("vid", F.col("dense").alias("now"))
-    rows = edges(graph).join(state, "vid")
-    return rows.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "equal_dense", "now"))).alias("at"))
+def factor_sat(graph: FactorGraph, assignment: DataFrame, other: DataFrame | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """Columns of the factors and at array<struct<pos, vid, equal_dense, now, other, is_cat>>, their positions with assigned values.
 
-
-def _sat_if(vid: Column | None, proposal: Column | None) -> Column:
+    Factor columns ride along with their positions: one shuffle to the variables' state and one back,
+    and no second join of factors.
+    """
+    factors = graph.factors if factors is None else factors
+    carried = [c for c in factors.columns if c not in ("fid", "arity", "vifs")]
+    flat = factors.select("fid", *carried, F.explode("vifs").alias("e")).select("fid", *carried, "e.pos", "e.vid", "e.equal_to")
+    flat = dense_of(flat, graph, "equal_to").withColumnRenamed("dense", "equal_dense")
+    state = graph.variables.select("vid", (F.col("dtype") == CATEGORICAL).alias("is_cat")).join(assignment.select("vid", F.col("dense").alias("now")), "vid")
+    if other is not None:
+        state = state.join(other.select("vid", F.col("dense").alias("other")), "vid")
+    position = F.struct("pos", "vid", "equal_dense", "now", *(["other"] if other is not None else []), "is_cat")
+    return flat.join(state, "vid").groupBy("fid").agg(F.sort_array(F.collect_list(position)).alias("at"), *[F.first(c).alias(c) for c in carried])
+
+
+def _sat_if(vid: Column | None, proposal: Column | None, now: str = "now") -> Column:
     """Satisfied positions if vid had the proposed value."""
     if vid is None:
-        return F.transform("at", lambda e: e["now"] == e["equal_dense"])
-    return F.transform("at", lambda e: F.when(e["vid"] == vid, proposal).otherwise(e["now"]) == e["equal_dense"])
+        return F.transform("at", lambda e: e[now] == e["equal_dense"])
+    return F.transform("at", lambda e: F.when(e["vid"] == vid, proposal).otherwise(e[now]) == e["equal_dense"])
 
 
 def factor_potentials(graph: FactorGraph, assignment: DataFrame) -> DataFrame:
     """(fid, value): function value times feature under the assignment."""
-    rows = graph.factors.select("fid", "func", "feature_value").join(factor_sat(graph, assignment), "fid")
+    rows = factor_sat(graph, assignment)
     return rows.select("fid", (factor_value(F.col("func"), _sat_if(None, None)) * F.col("feature_value")).alias("value"))
 
 
-def proposals(graph: FactorGraph) -> DataFrame:
-    """(vid, proposal, fid): factors that each proposed value sees.
+def _with_proposals(rows: DataFrame) -> DataFrame:
+    """Adds vid and proposal to rows of factor_sat: the values that see the factor.
 
     A categorical value sees the factors of its own slice only; either value of a boolean sees all.
     """
-    kinds = graph.variables.select("vid", "dtype")
-    rows = value_factor_index(graph).join(kinds, "vid")
-    both = F.when(F.col("dtype") == CATEGORICAL, F.array("dense")).otherwise(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
-    return rows.select("vid", F.explode(both).alias("proposal"), "fid")
+    slots = F.array_distinct(F.transform("at", lambda e: F.struct(e["vid"].alias("vid"), F.when(e["is_cat"], e["equal_dense"]).alias("dense"))))
+    rows = rows.withColumn("slot", F.explode(slots))
+    both = F.when(F.col("slot.dense").isNull(), F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).otherwise(F.array("slot.dense"))
+    return rows.withColumn("vid", F.col("slot.vid")).withColumn("proposal", F.explode(both)).drop("slot")
 
 
 def weighted_potentials(graph: FactorGraph, assignment: DataFrame, weights: DataFrame) -> DataFrame:
     """(vid, dense, pot) of every value of every variable; values without factors have potential 0. weights(wid, w)."""
-    facts = graph.factors.select("fid", "func", "wid", "feature_value").join(weights.select("wid", "w"), "wid").join(factor_sat(graph, assignment), "fid")
-    rows = proposals(graph).join(facts, "fid")
+    facts = graph.factors.join(weights.select("wid", "w"), "wid").drop("wid")
+    rows = _with_proposals(factor_sat(graph, assignment, factors=facts))
     value = factor_value(F.col("func"), _sat_if(F.col("vid"), F.col("proposal"))) * F.col("feature_value") * F.col("w")
-    sums = rows.groupBy("vid", F.col("proposal").alias("dense")).agg(F.sum(value).alias("pot"))
-    return all_values(graph).select("vid", "dense").join(sums, ["vid", "dense"], "left").select("vid", "dense", F.coalesce("pot", F.lit(0.0)).alias("pot"))
+    found = rows.select("vid", F.col("proposal").alias("dense"), value.alias("pot"))
+    # values that no factor sees come in as zeros, which no sum minds
+    return found.unionByName(all_values(graph).select("vid", "dense", F.lit(0.0).alias("pot"))).groupBy("vid", "dense").agg(F.sum("pot").alias("pot"))
 
 
 def conditional(graph: FactorGraph, assignment: DataFrame, weights: DataFrame) -> DataFrame:
@@ -113,8 +124,6 @@ def sgd_touches(graph: FactorGraph, free: DataFrame, noise_aware: bool = False,
 
 def _evidence_values(graph: FactorGraph) -> DataFrame:
     """(vid, val): the value that learning compares with; 0 for variables without evidence."""
-    from factorloom.operators.graph import initial_assignment
-
     return initial_assignment(graph).withColumnRenamed("dense", "val")
 
 
@@ -124,12 +133,9 @@ def gradients(graph: FactorGraph, free: DataFrame, evid: DataFrame, touches: Dat
     Touches of fixed weights are left out before anything is computed.
     """
     learn = graph.weights.where(~F.col("is_fixed")).select("wid")
-    facts = graph.factors.select("fid", "func", "wid", "feature_value").join(learn, "wid")
-    on_free = factor_sat(graph, free).withColumnRenamed("at", "at_free")
-    on_evid = factor_sat(graph, evid)
-    rows = touches.join(facts, "fid").join(on_free, "fid").join(on_evid, "fid")
-    free_sat = F.transform("at_free", lambda e: e["now"] == e["equal_dense"])
-    g = (factor_value(F.col("func"), free_sat) - factor_value(F.col("func"), _sat_if(F.col("vid"), F.col("evidence_value")))) * F.col("feature_value")
+    rows = touches.join(factor_sat(graph, free, evid, graph.factors.join(learn, "wid", "left_semi")), "fid")
+    at_free = factor_value(F.col("func"), _sat_if(None, None))
+    g = (at_free - factor_value(F.col("func"), _sat_if(F.col("vid"), F.col("evidence_value"), "other"))) * F.col("feature_value")
     return rows.select("vid", "fid", "wid", "scale", g.alias("g"))
 
 
