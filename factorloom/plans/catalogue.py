@@ -244,7 +244,7 @@ GRADIENT = DOC + DRAWN + """, gr AS (SELECT df.vid, df.fid, wid, 1.0::DOUBLE AS
 def _document_gradients(spark: SparkSession, sf_dir: str, learn_non_evidence: bool = False):
     g = ground.documents_graph(spark, sf_dir)
     start = graph.initial_assignment(g)
-    free = relational.draw_booleans(g, start, ground.as_w(g.weights), seed=3)
+    free = Scratch(spark, "free").keep(relational.draw_booleans(g, start, ground.as_w(g.weights), seed=3))  # read by touches and gradients
     return g, relational.gradients(g, free, start, relational.sgd_touches(g, free, learn_non_evidence=learn_non_evidence))
 
 
@@ -380,14 +380,14 @@ def logit_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gibbs_learn_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ground.documents_graph(spark, sf_dir)
-    _, tallies, of = gibbs.run_gibbs(g, GibbsConfig(n_learning_epoch=10, n_inference_epoch=50, reg_param=0.0), n_blocks=8)
+    _, tallies, of = gibbs.run_gibbs(g, GibbsConfig(n_learning_epoch=10, n_inference_epoch=50, reg_param=0.0), gibbs.block_count(g))
     return relational.marginals(g, tallies, of)
 
 
 @query()
 def gibbs_noise_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ground.soft_documents_graph(spark, sf_dir)
-    weights, _, _ = gibbs.run_gibbs(g, GibbsConfig(n_learning_epoch=10, n_inference_epoch=1, noise_aware=True), n_blocks=8)
+    weights, _, _ = gibbs.run_gibbs(g, GibbsConfig(n_learning_epoch=10, n_inference_epoch=1, noise_aware=True), gibbs.block_count(g))
     return weights
 
 
