@@ -73,7 +73,7 @@ def near_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterato
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(u, v): links that connect all rows of distinct(fp) at most `radius` bits apart, a spanning forest per tile pair."""
     tiles = Scratch(distinct.sparkSession, "simhash-tiles").keep(
-        make_tiles(distinct.withColumn("ones", F.bit_count("fp")), ["ones"], "fp", F.col("fp"), tile_rows)
+        make_tiles(distinct.withColumn("ones", F.bit_count("fp")), ["ones"], "fp", F.col("fp"), tile_rows, few_groups=True)  # 65 counts at most
     )
     pairs = pair_tiles(tiles, ["ones"], reach=radius)
 

@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def make_tiles(rows: DataFrame, group: list[str], key: str, payload: Column, tile_rows: int) -> DataFrame:
-    """(*group, tile, items): items holds the payload of each row dealt to that tile, ordered by key."""
+def make_tiles(rows: DataFrame, group: list[str], key: str, payload: Column, tile_rows: int, few_groups: bool = False) -> DataFrame:
+    """(*group, tile, items): items holds the payload of each row dealt to that tile, ordered by key.
+
+    few_groups says that the number of groups has a small bound, so that their sizes may be broadcast.
+    """
     sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(tile_rows)).alias("_n"))
+    sizes = F.broadcast(sizes) if few_groups else sizes
     dealt = rows.select(*group, F.col(key).alias("_k"), payload.alias("_p")).join(sizes, group)
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("_k"), F.col("_n")))
     return dealt.groupBy(*group, "tile").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_p"))), lambda x: x["_p"]).alias("items"))
