@@ -107,20 +107,23 @@ class Block:
         rows = []
         for text in texts:
             words = lower_words(text)
-            rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words)))
+            rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words)))
         self.n_words = n = len(numbers)
         # numbers: words, then the end n, then the start n + 1
         self.names = np.array([*map(word_key, numbers), int(END), int(START)], dtype=np.uint64)
         self.lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.words = np.concatenate([x for r in rows for x in (r, [n])]) if rows else np.zeros(0, np.int64)
-        before = np.concatenate([[n + 1], self.words[:-1]]) if len(self.words) else self.words
-        if len(self.words):
-            before[self.starts] = n + 1
+        self.words = np.concatenate([x for r in rows for x in (r, np.array([n], np.int32))]) if rows else np.zeros(0, np.int32)
+        del rows
+        before = np.roll(self.words, 1).astype(np.int64)
+        before[self.starts] = n + 1
         train = np.repeat(~np.asarray(held, dtype=bool), self.lengths)
         self.width = n + 2
-        pairs, at = np.unique(before * self.width + self.words, return_inverse=True)
-        self.pairs = pairs
+        before *= self.width
+        before += self.words
+        pairs, at = np.unique(before, return_inverse=True)
+        self.pairs, at = pairs, at.astype(np.int32)
+        del before
         self.own_pairs = np.bincount(at[train], minlength=len(pairs))
         self.own_words = np.bincount(self.words[train], minlength=n + 2)
         self.own_words[n + 1] = int((~np.asarray(held, dtype=bool)).sum())
