@@ -15,46 +15,52 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, all of it; one of fewer files than cores is dealt out first, so that a small file isn't one task."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.token_counts(whole(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(whole(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "text", "n_lines", "n_deleted")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(whole(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(whole(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mix(whole(spark, sf_dir, "documents"))
     return plan.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_quality(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_codes(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return bpe.bpe_codes(whole(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(whole(spark, sf_dir, "pages"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(whole(spark, sf_dir, "documents"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.embedding_components(whole(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
