@@ -99,4 +99,12 @@ ORACLE_SQL = {
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size
                      + greatest(0, least(size, goal - goal // source_size * source_size - start)) END)::BIGINT AS taken FROM o""",
+    "op10_embeddings": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL
+                             AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+              WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+        r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.v, l.b FROM r JOIN l ON r.c = l.a),
+        m AS (SELECT v, min(c) AS c FROM r GROUP BY v), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v AS vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, v = c AS kept FROM m LEFT JOIN d ON d.a = m.v""",
 }

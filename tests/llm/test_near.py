@@ -92,12 +92,10 @@ def test_embeddings(spark, confidence):
 
 
 def test_embeddings_equal_sql(spark):
-    from tests.llm.util import duck
+    from tests.llm.util import duck, same
 
-    got = queries.op10_embeddings(spark, SF).toPandas()
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    want = duck("SELECT a.vec_id, count(*) - 1 AS n FROM e a JOIN e b ON a.label = b.label AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98 GROUP BY 1", e=e)
-    assert dict(zip(got.vec_id, got.n_links, strict=True)) == dict(zip(want.vec_id, want.n, strict=True))
+    same(queries.op10_embeddings(spark, SF).toPandas(), duck(queries.ORACLE_SQL["op10_embeddings"], embeddings=e))
 
 
 def test_estimates_are_unbiased_and_bounds_hold():
@@ -110,7 +108,7 @@ def test_estimates_are_unbiased_and_bounds_hold():
         turn = embedding_dedup.rotation(64, seed)
         _, code, f = embedding_dedup.encode(x, turn)
         s = (np.unpackbits(code, axis=1).astype(float) * 2 - 1) / 8
-        inner = float((q @ turn) @ s.T)
+        inner = ((q @ turn) @ s.T).item()
         made.append(inner / f[0])
-        assert f[0] * inner + np.sqrt(1 - f[0] ** 2) * np.sqrt(1 - inner**2) >= float(q @ x.T) - 1e-9
-    assert abs(np.mean(made) - float(q @ x.T)) < 0.02
+        assert f[0] * inner + np.sqrt(1 - f[0] ** 2) * np.sqrt(1 - inner**2) >= (q @ x.T).item() - 1e-9
+    assert abs(np.mean(made) - (q @ x.T).item()) < 0.02
