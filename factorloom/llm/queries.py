@@ -18,7 +18,8 @@ def tokenizer_file(name: str) -> str:
 def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, all of it; one of fewer files than cores is dealt out first, so that a small file isn't one task."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    few = df.rdd.getNumPartitions() <= 2 * cores and 2 * len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
