@@ -1,9 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text that lies in their own blocks, less link text, and the
-page votes with those shares for the generalised tag-and-class path of each container. Votes are
-added up per host and path in Spark. Pages are then read again and the text comes from the best
-container with the host's winning path; a page that has no such container uses its own best.
+page votes with those shares for the generalised tag-and-class path of each container. Where a text is
+split over sibling containers of one path, or over those of an article, the container round them gets
+their scores. Votes are added up per host and path in Spark. Pages are then read again and the text comes
+from all containers with the host's winning path; a page that has no such container uses its own best path.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article main section div body td blockquote html center".split())
+CONTAINERS = frozenset("article main section div body td html center".split())
 CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption legend option optgroup dd dt li summary figcaption".split()) | {"p"}
 ENDS_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
                 "thead": ("tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -179,22 +180,40 @@ class Page:
                     self._close()
                 return
 
+    def scores(self) -> list[tuple[Node, float]]:
+        """Containers with their scores, after siblings of one path and all containers in an article have passed theirs on."""
+        inside: dict[Node, dict[str, list[tuple[Node, float]]]] = {}
+        found = []
+        for node in reversed(self.nodes):  # inner ones come after the ones round them
+            score = node.score
+            for parts in inside.pop(node, {}).values():
+                if len(parts) > 1 or node.tag == "article":
+                    score += sum(x for _, x in parts)
+                else:
+                    found += parts
+            if score > 0:
+                outer = node.parent.container if node.parent else None
+                if outer:
+                    inside.setdefault(outer, {}).setdefault(node.path, []).append((node, score))
+                else:
+                    found.append((node, score))
+        return found
+
     def votes(self) -> dict[str, float]:
         """Share of the page's score for each container path; an article or main element counts double."""
         found: dict[str, float] = {}
-        for node in self.nodes:
-            if node.score > 0:
-                found[node.path] = found.get(node.path, 0.0) + node.score * (2.0 if node.tag in ("article", "main") else 1.0)
+        for node, score in self.scores():
+            found[node.path] = found.get(node.path, 0.0) + score * (2.0 if node.tag in ("article", "main") else 1.0)
         total = sum(found.values())
         return {path: score / total for path, score in found.items()}
 
     def text(self, path: str | None) -> str:
-        """Blocks of the best container with that path, or of the best of all, joined by empty lines."""
-        best = max((n for n in self.nodes if n.path == path), key=lambda n: n.score, default=None)
-        if best is None:
+        """Blocks of all containers with that path, or with the page's own best path, in page order and joined by empty lines."""
+        chosen = [n for n in self.nodes if n.path == path]
+        if not chosen:
             own = max(self.votes().items(), key=lambda x: (x[1], x[0]), default=(None, 0))[0]
-            best = max((n for n in self.nodes if n.path == own), key=lambda n: n.score, default=self.nodes[0])
-        return "\n\n".join(self.blocks[slice(*best.blocks)])
+            chosen = [n for n in self.nodes if n.path == own] or self.nodes[:1]
+        return "\n\n".join(block for n in chosen for block in self.blocks[slice(*n.blocks)])
 
 
 def host_of(url: Column) -> Column:

@@ -26,6 +26,28 @@ def test_pages_alone():
         assert html_text.Page(html).text(None) == want, html
 
 
+A, B = "The first part " * 8, "The second part " * 8
+SPLIT = [
+    (f"<article><h1>T</h1><section><p>{A}</p></section><section><p>{B}</p></section></article>", ["T", A, B]),
+    (f'<article><h1>T</h1><section class="intro"><p>{A}</p></section><section class="rest"><p>{B}</p></section></article>', ["T", A, B]),
+    (f'<body><div class="story"><h1>T</h1><div class="par">{A}</div><div class="par">{B}</div></div><div class="box"><p>x</p></div>', ["T", A, B]),
+    (f"<article><h1>T</h1><table><tr><td>{A}<td>x<tr><td>{B}</table></article>", ["T", A, "x", B]),
+    (f'<body><table class="page"><tr><td><p>{A}</p></td></tr><tr><td><p>{B}</p></td></tr></table>', [A, B]),
+    (f"<article><p>T</p><blockquote><p>{A}</p><p>{B}</p></blockquote><p>x</p></article>", ["T", A, B, "x"]),
+    (f"<main><article><h1>T</h1><p>{A}</p></article><article><p>{B}</p></article></main>", ["T", A, B]),
+]
+
+
+def test_text_split_over_containers(spark):
+    for html, want in SPLIT:
+        assert html_text.Page(html).text(None) == "\n\n".join(t.strip() for t in want), html
+    rows = [(i, f"https://h{i}.example/{j}", html) for i, (html, _) in enumerate(SPLIT) for j in range(2)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == "\n\n".join(t.strip() for t in SPLIT[r.page_id][1]) for r in got) and len(got) == len(rows)
+    # the host's path, on a page where several containers have it
+    assert html_text.Page(f'<body><div class="s">{A}</div><p>x</p><div class="s">{B}</div>').text("html>body>div.s") == f"{A.strip()}\n\n{B.strip()}"
+
+
 class Slow(HTMLParser):
     """Blocks inside article, by the standard parser."""
 
