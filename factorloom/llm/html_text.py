@@ -42,6 +42,7 @@ NOISE = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -83,7 +84,7 @@ class Page:
         self.links = self.plain = 0
         self.open: list[Node] = [Node("html", "html", False, False, None)]
         self.nodes.append(self.open[0])
-        at, raw = 0, ""
+        at = 0
         for m in _TOKEN.finditer(html):
             if m.start() < at:
                 continue
@@ -98,8 +99,8 @@ class Page:
             else:
                 self._start(tag, m[3])
                 if tag in RAW:
-                    raw = html.lower().find(f"</{tag}", at)
-                    at = len(html) if raw < 0 else raw
+                    end = _RAW_END[tag].search(html, at)
+                    at = end.start() if end else len(html)
         self._text(html[at:])
         self._break()
         while self.open:

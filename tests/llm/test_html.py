@@ -48,6 +48,16 @@ def test_text_split_over_containers(spark):
     assert html_text.Page(f'<body><div class="s">{A}</div><p>x</p><div class="s">{B}</div>').text("html>body>div.s") == f"{A.strip()}\n\n{B.strip()}"
 
 
+def test_letters_that_grow_in_lower_case():
+    for html, want in [
+        ("<body><p>\u0130</p><script>x</script><p>rest</p></body>", "\u0130\n\nrest"),
+        ("<title>\u0130\u0130</TITLE ><body><p>\u0130stanbul</p><STYLE>p{}</Style><p>one</p><script>'</scripts>'</script\n><p>two", "\u0130stanbul\n\none\n\ntwo"),
+        ("<p>a</p><script>'</\u017fcript>'</script><p>b", "a\n\nb"),
+        ("<p>a</p><script>never closed <p>b", "a"),
+    ]:
+        assert html_text.Page(html).text(None) == want, html
+
+
 class Slow(HTMLParser):
     """Blocks inside article, by the standard parser."""
 
