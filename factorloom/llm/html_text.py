@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select option textarea input iframe object embed svg canvas audio video "
+    "script style noscript template head title nav header footer aside button select option textarea input iframe object embed svg canvas audio video "
     "dialog menu map xmp noembed noframes".split()
 )
 BLOCKS = frozenset(
@@ -33,13 +33,15 @@ CLOSES_P = BLOCKS - frozenset("body html tbody td tfoot th thead tr caption lege
 ENDS_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
                 "thead": ("tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table td th article section div body html main aside nav header footer form blockquote select".split())
-#: Words in a class, id or role that mark what isn't the article.
+#: A class, id or role marks what isn't the article if its last word is one of these.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner banners sponsor sponsored promo promos promotion promoted nav navbar navigation menu menus "
     "breadcrumb breadcrumbs sidebar sidebars aside header masthead topbar footer footnav colophon contentinfo complementary cookie cookies consent gdpr notice notices "
     "notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations pager pagination toolbar comment comments commentlist respond disqus reply replies search widget widgets hidden tags".split()
 )
+#: Words before the last that say what the rest of the page is like, as in has-sidebar.
+STATES = frozenset("has have no not with without hide show is".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for tag in RAW}
@@ -49,29 +51,45 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """An open or closed element: its path, whether it is left out, and the blocks of text inside it."""
+    """An open or closed element: its path, whether it is left out, and the blocks of text inside it.
 
-    __slots__ = ("tag", "path", "noise", "linked", "blocks", "score", "parent", "container")
+    mark: itself or the nearest element round it that names or a form mark as noise, and that Page drops unless it holds
+    the text; article: the nearest article or main element that isn't marked, of articles such.
+    """
+
+    __slots__ = ("tag", "path", "noise", "linked", "blocks", "score", "parent", "container", "mark", "plain", "holds", "dropped", "article", "articles")
 
-    def __init__(self, tag: str, path: str, noise: bool, linked: bool, parent):
+    def __init__(self, tag: str, path: str, noise: bool, linked: bool, parent, marked: bool = False):
         self.tag, self.path, self.noise, self.linked, self.parent = tag, path, noise, linked, parent
         self.blocks: tuple[int, int] = (0, 0)
         self.score = 0.0
+        self.mark: Node | None = self if marked and not noise else parent.mark if parent else None
+        self.plain, self.holds, self.dropped = 0, 0, False
+        own = tag in ("article", "main") and not noise and not self.mark
+        self.article: Node | None = self if own else parent.article if parent else None
+        self.articles: int = (parent.articles if parent else 0) + own
         self.container = self if tag in CONTAINERS and not noise else parent.container if parent else None
 
 
-def _general(tag: str, attributes: str) -> tuple[str, bool]:
-    """(tag.class.class without digits, whether a class, id or role says that it isn't the article)."""
+def _marks(name: str) -> bool:
+    """Whether a class, id or role says that an element isn't the article."""
+    words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+    return bool(words) and words[-1] in NOISE and STATES.isdisjoint(words)
+
+
+def _general(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(tag.class.class without digits, whether it is hidden, whether its names or a form mark it as not the article)."""
+    marked = tag == "form"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, False
+        return tag, False, marked
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     classes = sorted({re.sub(r"[\d_-]+$|\d+", "", c) for c in found.get("class", "").split()} - {""})
     noise = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     if tag not in ("html", "body"):
         for name in ("class", "id", "role"):
-            if name in found and not NOISE.isdisjoint(_SPLIT.split(_CAMEL.sub("-", found[name]).lower())):
-                noise = True
-    return ".".join([tag, *classes]), noise
+            if name in found and any(map(_marks, found[name].split())):
+                marked = True
+    return ".".join([tag, *classes]), noise, marked
 
 
 class Page:
@@ -80,8 +98,10 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[str] = []
         self.nodes: list[Node] = []
-        self.parts: list[str] = []
-        self.links = self.plain = 0
+        self.parts: list[tuple[str, Node]] = []
+        self.made: list[tuple[list[tuple[str, Node]], Node | None]] = []
+        self.marked: list[Node] = []
+        self.articles: list[Node] = []
         self.open: list[Node] = [Node("html", "html", False, False, None)]
         self.nodes.append(self.open[0])
         at = 0
@@ -105,36 +125,71 @@ class Page:
         self._break()
         while self.open:
             self._close()
+        self._settle()
 
     def _text(self, text: str) -> None:
         top = self.open[-1]
         if top.noise or not text:
             return
         text = unescape(text) if "&" in text else text
-        self.parts.append(text)
-        n = len(text) - text.count(" ")
-        if top.linked:
-            self.links += n
-        else:
-            self.plain += n
+        self.parts.append((text, top))
 
     def _break(self) -> None:
-        """Ends the block at hand and credits the containers above it."""
+        """Ends the block at hand."""
         if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
-            self.parts.clear()
-            if text:
-                self.blocks.append(text)
-                worth, node = max(0, self.plain - self.links), self.open[-1].container
-                if node:
-                    node.score += worth
-                    if node.parent and node.parent.container:
-                        node.parent.container.score += worth / 3
-            self.links = self.plain = 0
+            if not all(t.isspace() for t, _ in self.parts):
+                self.made.append((self.parts, self.open[-1].container))
+            self.parts = []
 
     def _close(self) -> None:
         node = self.open.pop()
-        node.blocks = (node.blocks[0], len(self.blocks))
+        node.blocks = (node.blocks[0], len(self.made))
+
+    def _settle(self) -> None:
+        """Keeps the marked elements that hold the page's article, drops the others, and credits containers with their blocks.
+
+        They hold it if they have an article or main element, or most of the text outside of links of the page
+        or of the article round them, and no article or main element with text stands elsewhere unmarked.
+        """
+        if self.marked:
+            self._judge()
+        self.nodes = [n for n in self.nodes if not (n.mark and n.mark.dropped)]
+        for parts, node in self.made:
+            if self.marked:
+                parts = [p for p in parts if not (p[1].mark and p[1].mark.dropped)]
+            text = _SPACE.sub(" ", "".join(p[0] for p in parts)).strip()
+            self.blocks.append(text)
+            if text and node:
+                worth = max(0, sum((len(t) - t.count(" ")) * (-1 if top.linked else 1) for t, top in parts))
+                node.score += worth
+                if node.parent and node.parent.container:
+                    node.parent.container.score += worth / 3
+
+    def _judge(self) -> None:
+        whole = outside = 0
+        for text, top in (p for parts, _ in self.made for p in parts):
+            if not top.linked:
+                n = sum(map(len, text.split()))
+                whole += n
+                for node in (top.mark, top.article):
+                    if node:
+                        node.plain += n
+        for node in reversed(self.articles):
+            if not node.mark and (up := node.parent.article):
+                up.plain += node.plain
+            if node.blocks[1] > node.blocks[0]:
+                if node.mark:
+                    node.mark.holds += 1
+                else:
+                    outside += 1
+        for node in reversed(self.marked):  # inner ones first
+            if up := node.parent.mark:
+                up.plain += node.plain
+                up.holds += node.holds
+        for node in self.marked:
+            up = node.parent.mark
+            held = (node.holds or 2 * node.plain > (node.article.plain if node.article else whole)) and outside <= node.articles
+            node.dropped = not held or bool(up and up.dropped)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -150,10 +205,14 @@ class Page:
         top = self.open[-1]
         if tag in ("html", "body") and len(self.open) <= 2 and any(n.tag == tag for n in self.open):
             return
-        name, noise = _general(tag, attributes)
-        node = Node(tag, f"{top.path}>{name}" if tag in BLOCKS else top.path, top.noise or noise or tag in SKIPPED, top.linked or tag == "a", top)
-        node.blocks = (len(self.blocks), 0)
+        name, noise, marked = _general(tag, attributes)
+        node = Node(tag, f"{top.path}>{name}" if tag in BLOCKS else top.path, top.noise or noise or tag in SKIPPED, top.linked or tag == "a", top, marked)
+        node.blocks = (len(self.made), 0)
         self.open.append(node)
+        if node.mark is node:
+            self.marked.append(node)
+        if tag in ("article", "main") and not node.noise:
+            self.articles.append(node)
         if node.container is node:
             self.nodes.append(node)
 
@@ -175,7 +234,7 @@ class Page:
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                if tag not in BLOCKS and any(n.tag in BLOCKS for n in self.open[i + 1 :]):
+                if tag not in BLOCKS and tag not in SKIPPED and any(n.tag in BLOCKS for n in self.open[i + 1 :]):
                     return  # an inline end tag does not close the blocks around it
                 while len(self.open) > i:
                     self._close()
@@ -214,7 +273,7 @@ class Page:
         if not chosen:
             own = max(self.votes().items(), key=lambda x: (x[1], x[0]), default=(None, 0))[0]
             chosen = [n for n in self.nodes if n.path == own] or self.nodes[:1]
-        return "\n\n".join(block for n in chosen for block in self.blocks[slice(*n.blocks)])
+        return "\n\n".join(block for n in chosen for block in self.blocks[slice(*n.blocks)] if block)
 
 
 def host_of(url: Column) -> Column:

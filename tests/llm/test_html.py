@@ -58,6 +58,31 @@ def test_letters_that_grow_in_lower_case():
         assert html_text.Page(html).text(None) == want, html
 
 
+STORY = f"<p>{A}</p><p>{B}</p>"
+BOTH = f"{A.strip()}\n\n{B.strip()}"
+
+
+def test_wrappers_with_noise_in_their_names(spark):
+    names = ["has-sidebar", "no-sidebar", "content-with-sidebar", "elementor-widget-container", "post-tags-enabled", "header-fixed", "search-results-page", "layout sidebar", "pageWidget"]
+    pages = [f'<body><div {at}="{name}">{STORY}</div><div class="sidebar"><p>side</p></div>' for name in names for at in ("class", "id")]
+    pages += [
+        f'<body><div class="no-sidebar"><div class="main-menu"><p>m</p></div><div class="story">{STORY}</div><div class="sidebar"><p>side</p></div></div>',
+        f'<body><div class="story">{STORY}</div><div class="post-tags-enabled"><a href="/">x</a></div>',
+        f'<body><div class="left sidebar"><article>{STORY}</article></div><p>{"other " * 40}</p>',
+        f'<body><article><div class="post-widget">{STORY}</div></article><div class="comments"><p>{A * 9}</p></div>',
+        f'<article>{STORY}</article><div class="comments"><article class="comment-body"><p>{A * 9}</p></article></div>',
+        f'<body><form id="aspnetForm"><input value=v><select><option>no</select><button>Go</button><textarea>no</textarea>{STORY}<form-x></form-x></form>',
+        f'<body><form><nav>n</nav><article>{STORY}</article><div class="footer">f</div></form><p>x</p>',
+        f'<body><div class="story">{STORY}</div><form><p>Your mail</p></form>',
+        f'<body><main>{STORY}<span class="share">share</span></main><div class="widget"><p>w</p></div>',
+    ]
+    for html in pages:
+        assert html_text.Page(html).text(None) == BOTH, html
+    rows = [(i, f"https://h{i}.example/", html) for i, html in enumerate(pages)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [BOTH] * len(pages)
+
+
 class Slow(HTMLParser):
     """Blocks inside article, by the standard parser."""
 
