@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.operators.components import connected_components
+from factorloom.session import Scratch
+
 
 def sample_means(samples: DataFrame) -> DataFrame:
     """(vid, mean) of samples(sample, vid, value)."""
@@ -91,10 +94,18 @@ def sparse_inverse(a: np.ndarray, penalty: np.ndarray, k: float, c: np.ndarray |
     return c
 
 
+def penalty_parts(cov: DataFrame, penalty: float) -> DataFrame:
+    """(vid, part) of the variables that covariances over the penalty connect with others; no entry of the inverse joins two parts."""
+    links = cov.where((F.col("vid_i") != F.col("vid_j")) & (F.abs("cov") > penalty)).select(F.col("vid_j").alias("u"), F.col("vid_i").alias("v"))
+    return connected_components(links).select(F.col("node").alias("vid"), F.col("component").alias("part"))
+
+
 def inverse_covariances(cov: DataFrame, lambdas: tuple = tuple(range(200, 0, -10)), k: float = 25.0) -> DataFrame:
     """(component, vid_i, vid_j, weight): entries that aren't zero, over a falling path of penalties with warm starts.
 
-    A component's matrix is one task's; components are what keeps it small.
+    A component falls into the parts that covariances over the last penalty connect, which is exact:
+    at the optimum every entry between two parts is zero. A variable alone has a closed form. The
+    matrix of a part with several variables is one task's, and nothing bounds its size.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +119,14 @@ def inverse_covariances(cov: DataFrame, lambdas: tuple = tuple(range(200, 0, -10
         i, j = np.nonzero(np.triu(np.abs(c) > 1e-12))
         return pd.DataFrame({"component": rows["component"].iloc[0], "vid_i": vids[i], "vid_j": vids[j], "weight": c[i, j]})
 
-    return cov.groupBy("component").applyInPandas(solve, "component long, vid_i long, vid_j long, weight double")
+    cov = Scratch(cov.sparkSession, "inverse").keep(cov.select("component", "vid_i", "vid_j", "cov"))
+    parts = penalty_parts(cov, float(lambdas[-1]))
+    rows = cov.join(parts.withColumnRenamed("vid", "vid_i"), "vid_i", "left")
+    together = rows.join(parts.select(F.col("vid").alias("vid_j"), F.col("part").alias("_other")), "vid_j").where("part = _other")
+    solved = together.groupBy("component", "part").applyInPandas(solve, "component long, vid_i long, vid_j long, weight double")
+    r = F.col("cov") + float(lambdas[-1])
+    alone = rows.where("part is null and vid_i = vid_j").select("component", "vid_i", "vid_j", F.when(r > 0, k / r).otherwise(1.0).alias("weight"))
+    return solved.unionByName(alone)
 
 
 def compact_weights(means: DataFrame, inverse: DataFrame) -> DataFrame:

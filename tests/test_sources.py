@@ -145,6 +145,31 @@ def test_compaction(spark):
     assert cov == {(0, 0): 0.25, (0, 1): -0.25, (1, 1): 0.25, (2, 2): 0.0}
 
 
+def test_compaction_splits_components(spark):
+    import numpy as np
+
+    from factorloom.operators import compaction
+
+    rng = np.random.default_rng(1)
+    n, k, lam = 12, 1.0, 0.15
+    x = rng.standard_normal((20_000, n))
+    x[:, 4] += x[:, 7]
+    x[:, 9] += 0.7 * x[:, 4] - x[:, 2]
+    x[:, 1] += x[:, 0]
+    a = np.cov(x.T)
+    rows = [(3, i + 50, j + 50, float(a[i, j])) for i in range(n) for j in range(i, n)]
+    cov = spark.createDataFrame(rows, "component long, vid_i long, vid_j long, cov double")
+    sizes = sorted(r["count"] for r in compaction.penalty_parts(cov, lam).groupBy("part").count().collect())
+    assert sizes == [2, 4]
+    whole = compaction.sparse_inverse(a, np.full_like(a, lam), k, tol=1e-12)
+    got = compaction.inverse_covariances(cov, (0.5, lam), k).collect()
+    c = np.zeros((n, n))
+    for r in got:
+        c[r.vid_i - 50, r.vid_j - 50] = c[r.vid_j - 50, r.vid_i - 50] = r.weight
+    assert np.allclose(c, whole, atol=2e-3) and all(r.component == 3 for r in got) and len(got) == len({(r.vid_i, r.vid_j) for r in got})
+    assert compaction.inverse_covariances(cov.limit(0), (0.5, lam), k).count() == 0
+
+
 def test_compaction_files(spark, tmp_path):
     parts = text.read_components(spark, write(tmp_path / "c", "3 1 2", "9"))
     assert sorted(map(tuple, parts.collect())) == [(1, 1), (1, 2), (1, 3), (9, 9)]
