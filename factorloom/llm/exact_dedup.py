@@ -162,8 +162,8 @@ def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFram
 
     Texts are equal when they agree without [\\x20\\x09-\\x0D]; a null text counts as empty. The longest
     original stays, then the smallest doc_id; a null doc_id comes last. Rows that repeat the kept
-    doc_id with the same text are all marked kept. Rows of `withdrawn`(doc_id) leave the index
-    first. Empty tables give empty results, and other columns are ignored.
+    doc_id with the same text are all marked kept. Rows of `withdrawn`(doc_id) are taken out by an
+    anti-join before any index is made. Empty tables give empty results, and other columns are ignored.
     """
     live = docs if withdrawn is None else docs.join(withdrawn.select("doc_id").distinct(), "doc_id", "left_anti")
     text = F.coalesce(F.col("text"), F.lit(""))
