@@ -13,9 +13,12 @@ import json
 from collections.abc import Iterator
 from struct import pack
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factorloom.llm.batches import map_batches, texts
 
 NO_RANK = 1 << 60
 CACHE_WORDS = 300_000
@@ -116,7 +119,7 @@ class WordBpe(dict):
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids, decoded text)."""
         found = []
-        for piece in self.cut_special.split(text) if "<|" in text else [text]:
+        for piece in self.cut_special.split(text) if self.special else [text]:
             if piece in self.special:
                 found.append((pack("<I", self.special[piece]), piece))
             elif piece:
@@ -124,27 +127,30 @@ class WordBpe(dict):
         return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
 
 
-def bpe_codes(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+def bpe_codes(docs: DataFrame, path: str, keep_ids: bool = False, carry: dict | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, with keep_ids, ids and decoded) for each row of docs(doc_id, text).
 
     path: the tokenizer's file, readable on every executor. A null text counts as empty: no tokens,
-    the digests of nothing. Rows that repeat repeat in the result; other columns are ignored.
+    the digests of nothing. Rows that repeat repeat in the result, null ids stay null. Columns in carry
+    (name -> type) pass through, others are ignored.
     """
+    carry = carry or {}
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep_ids else "")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = WordBpe(path)
         for batch in batches:
-            made = [bpe.encode(t or "") for t in batch["text"]]
-            out = pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
+            made = [bpe.encode(t) for t in texts(batch)]
+            out = {
+                **{c: batch.column(c) for c in carry},
+                "doc_id": batch.column("doc_id"),
                 "n_tokens": [len(a) // 4 for a, _ in made],
                 "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in made],
                 "decoded_sha256": [hashlib.sha256(b.encode("utf-8")).hexdigest() for _, b in made],
-            })
+            }
             if keep_ids:
-                out["ids"] = [list(memoryview(a).cast("I")) for a, _ in made]
-                out["decoded"] = [b for _, b in made]
+                out |= {"ids": [list(memoryview(a).cast("I")) for a, _ in made], "decoded": [b for _, b in made]}
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(encode, schema)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").cast(k).alias(c) for c, k in carry.items()]]
+    return map_batches(docs.select(*columns), encode, schema + "".join(f", {c} {k}" for c, k in carry.items()))

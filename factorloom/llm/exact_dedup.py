@@ -1,24 +1,31 @@
 """Exact duplicates through a cuckoo-filter index of live digests.
 
 Digests are made by native expressions, so texts never enter Python. Every input task folds its own
-rows through a CuckooIndex (a partial aggregate), the partial groups are dealt by digest, and one
-index per partition folds those. A digest that a third of all rows share reaches its partition as
-one row per task. An index never holds more than MAX_LIVE digests: a full one yields its groups,
-deletes them and goes on, so memory is bounded whatever a task reads.
+rows through a CuckooIndex (a partial aggregate): a row is inserted under its digest, and a withdrawn
+row deleted again, which frees the slot once no live row of the digest is left. The partial groups are
+dealt by digest to partitions of about PART_LIVE digests, and the index of a partition, which grows by
+doubling, gives the final groups: no aggregate stands behind it. A digest that a third of all rows
+share reaches its partition as one row per task and flush. The index of an input task yields its
+groups at MAX_LIVE digests, deletes them and goes on, so memory is bounded whatever a task reads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.batches import map_batches
+from factorloom.session import Scratch, free_name
+
 SLOTS = 4
 MAX_KICKS = 200
 MAX_LIVE = 400_000
-GROUPS = "digest binary, keep_id long, keep_chars long, group_size long"
+#: Digests that a final partition is dealt on average; one row of a written table each, counted before.
+PART_LIVE = 250_000
+GROUPS = "digest binary, keep_id long, keep_chars long, group_size long, gone long"
 
 
 class CuckooIndex:
@@ -110,65 +117,88 @@ class CuckooIndex:
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Of two (chars, doc_id, rows) the longer text, then the smaller id (null ids last); rows add up."""
+    """Of two (chars, doc_id, rows, gone) the longer live text, then the smaller id (null ids last); rows and withdrawals add up."""
+    rows, gone = a[2] + b[2], a[3] + b[3]
     if (b[0], b[1] is not None, -(b[1] or 0)) > (a[0], a[1] is not None, -(a[1] or 0)):
-        return b[0], b[1], a[2] + b[2]
-    return a[0], a[1], a[2] + b[2]
+        return b[0], b[1], rows, gone
+    return a[0], a[1], rows, gone
+
+
+def fold(index: CuckooIndex, key: bytes, new: tuple) -> None:
+    """Enters (chars, doc_id, rows, gone) under a digest; a digest whose rows are all withdrawn leaves the index."""
+    old = index.get(key)
+    new = new if old is None else _better(old, new)
+    if new[2] == new[3]:
+        index.delete(key)
+    else:
+        index.insert(key, new)
+
+
+def _folded(max_live: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        index = CuckooIndex()
+
+        def flush() -> dict:
+            live = list(index.items())
+            for key, _ in live:
+                index.delete(key)
+            chars, ids, rows, gone = zip(*[v for _, v in live], strict=True)
+            return {"digest": [k for k, _ in live], "keep_id": ids, "keep_chars": chars, "group_size": rows, "gone": gone}
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_chars", "group_size", "gone"))
+            for key, doc_id, chars, rows, gone in zip(*columns, strict=True):
+                fold(index, key, (chars, doc_id, rows, gone))
+                if max_live and index.size >= max_live:
+                    yield flush()
+        if index.size:
+            yield flush()
+
+    return run
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index = CuckooIndex()
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""), 256))
 
-    def flush() -> pd.DataFrame:
-        live = list(index.items())
-        for key, _ in live:
-            index.delete(key)
-        out = pd.DataFrame({"digest": [k for k, _ in live], "keep_chars": [v[0] for _, v in live], "group_size": [v[2] for _, v in live]})
-        out.insert(1, "keep_id", pd.array([v[1] for _, v in live], dtype="Int64"))
-        return out
 
-    for batch in batches:
-        ids = [None if x is pd.NA else int(x) for x in batch["keep_id"].astype("Int64")]
-        for key, doc_id, chars, rows in zip(batch["digest"], ids, batch["keep_chars"], batch["group_size"], strict=True):
-            new = (int(chars), doc_id, int(rows))
-            old = index.get(key)
-            index.insert(key, new if old is None else _better(old, new))
-            if index.size >= MAX_LIVE:
-                yield flush()
-    if index.size:
-        yield flush()
+def _live(docs: DataFrame, withdrawn: DataFrame | None) -> tuple[DataFrame, str]:
+    """docs with a boolean column that marks the rows of withdrawn ids, and its name."""
+    name = free_name(docs, "is_gone")
+    if withdrawn is None:
+        return docs.withColumn(name, F.lit(False)), name
+    gone = withdrawn.select(F.col("doc_id").alias("_gone_id")).where("_gone_id is not null").distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").withColumn(name, F.col("_gone_id").isNotNull()).drop("_gone_id"), name
 
 
 def digest_groups(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
-    """(digest, keep_id, keep_chars, group_size) of every distinct normalised text in docs(doc_id, text)."""
-    live = docs if withdrawn is None else docs.join(withdrawn.select("doc_id").distinct(), "doc_id", "left_anti")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = live.select(
-        F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)).alias("digest"),
-        F.col("doc_id").cast("long").alias("keep_id"),
-        F.length(text).cast("long").alias("keep_chars"),
+    """(digest, keep_id, keep_chars, group_size) of every normalised text with a live row in docs(doc_id, text)."""
+    flagged, gone = _live(docs.select("doc_id", "text"), withdrawn)
+    out = F.col(gone)
+    # a withdrawn row counts as inserted and withdrawn, and can't be the one that stays: its length is below any text's
+    rows = flagged.select(
+        _digest(F.col("text")).alias("digest"),
+        F.when(~out, F.col("doc_id").cast("long")).alias("keep_id"),
+        F.when(out, -1).otherwise(F.length(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("keep_chars"),
         F.lit(1).cast("long").alias("group_size"),
+        out.cast("long").alias("gone"),
     )
-    partial = rows.mapInPandas(_fold, GROUPS).repartition(F.col("digest")).mapInPandas(_fold, GROUPS)
-    # an index that was full has given a digest out more than once; at most a row per flush remains to be added up
-    return partial.groupBy("digest").agg(
-        F.min(F.struct((-F.col("keep_chars")).alias("c"), F.col("keep_id").isNull().alias("n"), F.col("keep_id").alias("id"))).alias("_k"),
-        F.sum("group_size").alias("group_size"),
-    ).select("digest", F.col("_k.id").alias("keep_id"), (-F.col("_k.c")).alias("keep_chars"), "group_size")
+    partial = Scratch(docs.sparkSession, "exact-dedup").keep(map_batches(rows, _folded(MAX_LIVE), GROUPS))
+    parts = max(1, -(-partial.count() // PART_LIVE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = map_batches(partial.repartition(parts, "digest"), _folded(None), GROUPS)
+    return found.select("digest", "keep_id", "keep_chars", (F.col("group_size") - F.col("gone")).alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per live row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree without [\\x20\\x09-\\x0D]; a null text counts as empty. The longest
     original stays, then the smallest doc_id; a null doc_id comes last. Rows that repeat the kept
-    doc_id with the same text are all marked kept. Rows of `withdrawn`(doc_id) are taken out by an
-    anti-join before any index is made. Empty tables give empty results, and other columns are ignored.
+    doc_id with the same text are all marked kept. Rows of `withdrawn`(doc_id) are deleted from the
+    index and come out of no group. Empty tables give empty results, and other columns are ignored.
     """
-    live = docs if withdrawn is None else docs.join(withdrawn.select("doc_id").distinct(), "doc_id", "left_anti")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = live.select(F.col("doc_id"), F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)).alias("digest"))
-    return rows.join(digest_groups(live), "digest").select(
+    flagged, gone = _live(docs.select("doc_id", "text"), withdrawn)
+    rows = flagged.where(~F.col(gone)).select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"))
+    return rows.join(digest_groups(docs, withdrawn), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",

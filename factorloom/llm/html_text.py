@@ -5,6 +5,8 @@ page votes with those shares for the generalised tag-and-class path of each cont
 split over sibling containers of one path, or over those of an article, the container round them gets
 their scores. Votes are added up per host and path in Spark. Pages are then read again and the text comes
 from all containers with the host's winning path; a page that has no such container uses its own best path.
+A path is named by a hash over its steps, so its length doesn't grow with the depth of a page. Only the
+votes are shuffled; html stays where it is read while the winning paths fit a broadcast.
 """
 
 from __future__ import annotations
@@ -13,10 +15,18 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.batches import map_batches, texts
+from factorloom.session import Scratch
+
+#: The table of winning paths is broadcast up to so many hosts, some 20 MB; beyond, pages are joined with it, hot hosts in SALT parts.
+BROADCAST_HOSTS = 200_000
+SALT = 32
+
 #: HTML elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -50,6 +60,14 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def path_name(*steps: str) -> str:
+    """The name of a container's path from its generalised steps below html, as ("body", "div.story")."""
+    name = "html"
+    for step in steps:
+        name = xxhash.xxh64_hexdigest(f"{name}>{step}")
+    return name
+
+
 class Node:
     """An open or closed element: its path, whether it is left out, and the blocks of text inside it.
 
@@ -102,7 +120,10 @@ class Page:
         self.made: list[tuple[list[tuple[str, Node]], Node | None]] = []
         self.marked: list[Node] = []
         self.articles: list[Node] = []
-        self.open: list[Node] = [Node("html", "html", False, False, None)]
+        self.open: list[Node] = []
+        self.at: dict[str, list[int]] = {}  # where each tag is open, innermost last
+        self.blocks_open: list[int] = [0]  # open block elements up to each depth
+        self._push(Node("html", "html", False, False, None))
         self.nodes.append(self.open[0])
         at = 0
         for m in _TOKEN.finditer(html):
@@ -141,8 +162,19 @@ class Page:
                 self.made.append((self.parts, self.open[-1].container))
             self.parts = []
 
+    def _push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.blocks_open.append(self.blocks_open[-1] + (node.tag in BLOCKS))
+        self.open.append(node)
+
+    def _depth(self, tags) -> int:
+        """Depth of the innermost open element of tags, -1 if none is open."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
     def _close(self) -> None:
         node = self.open.pop()
+        self.at[node.tag].pop()
+        self.blocks_open.pop()
         node.blocks = (node.blocks[0], len(self.made))
 
     def _settle(self) -> None:
@@ -203,12 +235,13 @@ class Page:
                 self._text(" " if tag != "wbr" else "")
             return
         top = self.open[-1]
-        if tag in ("html", "body") and len(self.open) <= 2 and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and len(self.open) <= 2 and self.at.get(tag):
             return
         name, noise, marked = _general(tag, attributes)
-        node = Node(tag, f"{top.path}>{name}" if tag in BLOCKS else top.path, top.noise or noise or tag in SKIPPED, top.linked or tag == "a", top, marked)
+        path = xxhash.xxh64_hexdigest(f"{top.path}>{name}") if tag in BLOCKS else top.path
+        node = Node(tag, path, top.noise or noise or tag in SKIPPED, top.linked or tag == "a", top, marked)
         node.blocks = (len(self.made), 0)
-        self.open.append(node)
+        self._push(node)
         if node.mark is node:
             self.marked.append(node)
         if tag in ("article", "main") and not node.noise:
@@ -218,27 +251,22 @@ class Page:
 
     def _end_open(self, tags: tuple, scope: frozenset) -> None:
         """Closes the nearest open element of tags, and what is open inside it, unless a scope stands between."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                self._break()
-                while len(self.open) > i:
-                    self._close()
-                return
-            if self.open[i].tag in scope:
-                return
+        at = self._depth(tags)
+        if at > 0 and self._depth(scope.difference(tags)) < at:
+            self._break()
+            while len(self.open) > at:
+                self._close()
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._break()
-        if tag in ("html", "body"):
+        at = self._depth((tag,))
+        if tag in ("html", "body") or at < 1:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                if tag not in BLOCKS and tag not in SKIPPED and any(n.tag in BLOCKS for n in self.open[i + 1 :]):
-                    return  # an inline end tag does not close the blocks around it
-                while len(self.open) > i:
-                    self._close()
-                return
+        if tag not in BLOCKS and tag not in SKIPPED and self.blocks_open[-1] > self.blocks_open[at + 1]:
+            return  # an inline end tag does not close the blocks around it
+        while len(self.open) > at:
+            self._close()
 
     def scores(self) -> list[tuple[Node, float]]:
         """Containers with their scores, after siblings of one path and all containers in an article have passed theirs on."""
@@ -285,15 +313,15 @@ def host_of(url: Column) -> Column:
 def path_votes(pages: DataFrame) -> DataFrame:
     """(host, path, votes): added up over the pages of a host, with partial sums in each task."""
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
-            for host, html in zip(batch["host"], batch["html"], strict=True):
-                for path, share in Page(html or "").votes().items():
+            for host, html in zip(batch.column("host").to_pylist(), texts(batch, "html"), strict=True):
+                for path, share in Page(html).votes().items():
                     sums[host, path] = sums.get((host, path), 0.0) + share
-            yield pd.DataFrame({"host": [k[0] for k in sums], "path": [k[1] for k in sums], "votes": list(sums.values())})
+            yield {"host": [k[0] for k in sums], "path": [k[1] for k in sums], "votes": list(sums.values())}
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(vote, "host string, path string, votes double")
+    cast = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "host string, path string, votes double")
     return cast.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
 
 
@@ -303,19 +331,26 @@ def host_paths(votes: DataFrame) -> DataFrame:
     return best.select("host", F.col("b.path").alias("path"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html), from the whole html.
 
     Null html counts as empty and gives an empty text; a null url is a host of its own. Repeated rows
-    vote and come out as often as they stand there; other columns are ignored.
+    vote and come out as often as they stand there; other columns are ignored. The table of winning
+    paths is written and counted: up to broadcast_hosts rows it is broadcast, beyond that each row is
+    repeated SALT times and pages are dealt to one of them by their html's hash.
     """
-    paths = host_paths(path_votes(pages)).withColumnRenamed("host", "_host")
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(paths, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    paths = Scratch(pages.sparkSession, "html-paths").keep(host_paths(path_votes(pages)).withColumnRenamed("host", "_host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    if paths.count() <= broadcast_hosts:
+        joined = rows.join(F.broadcast(paths), F.col("host") == F.col("_host"), "left")
+    else:
+        salted = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int"))
+        joined = rows.join(salted, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            texts = [Page(h or "").text(p) for h, p in zip(batch["html"], batch["path"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            made = [Page(h).text(p) for h, p in zip(texts(batch, "html"), batch.column("path").to_pylist(), strict=True)]
+            yield {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": made, "n_chars": [len(t) for t in made]}
 
-    return joined.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "path"), extract, "page_id long, url string, text string, n_chars long")

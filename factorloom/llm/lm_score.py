@@ -17,19 +17,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.batches import as_batch, map_batches, texts
 from factorloom.llm.words import lower_words
-from factorloom.session import shuffles_dropped
+from factorloom.session import Scratch, shuffles_dropped
 
 #: Weight of the lower order in words; see the README for how held-out texts fare under others.
 MU = 1000.0
 #: Characters of text in a block, and distinct words that the first pass gathers before it sends them on.
 BLOCK_CHARS = 12_000_000
 FLUSH_WORDS = 400_000
+SENT = "part int, block int, keys binary, counts binary"
+ANSWERED = "block int, keys binary, extra binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,24 +66,26 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int, int]:
-    """(characters of all texts, N training tokens, V distinct training tokens); ends count as a token."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(characters of all texts, N training tokens, V distinct training tokens); ends count as a token.
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Tasks send the names of the words that they met, once for each FLUSH_WORDS of them; a native
+    distinct counts those, with partial aggregates, so no group grows with the vocabulary.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[bytes] = set()
         sums = np.zeros(3, np.int64)
 
-        def flush() -> pd.DataFrame:
-            keys = np.unique(np.fromiter(map(word_key, seen), dtype=np.uint64, count=len(seen)))
-            part = (keys % np.uint64(parts)).astype(np.int64)
-            rows = [(p, pack(keys[part == p], True), 0, 0, 0) for p in np.unique(part).tolist()] + [(0, b"", *sums.tolist())]
+        def flush() -> dict:
+            keys = np.fromiter(map(word_key, seen), dtype=np.uint64, count=len(seen)).view(np.int64)
+            row = {"keys": pa.array([keys], type=pa.list_(pa.int64())), **{c: sums[i : i + 1].copy() for i, c in enumerate(("chars", "tokens", "n_texts"))}}
             seen.clear()
             sums[:] = 0
-            return pd.DataFrame(rows, columns=["part", "keys", "chars", "tokens", "texts"])
+            return row
 
         for batch in batches:
-            for text, held in zip(batch["text"], batch["held_out"], strict=True):
-                sums[0] += len(text or "")
+            for text, held in zip(texts(batch), batch.column("held_out").to_pylist(), strict=True):
+                sums[0] += len(text)
                 if not held:
                     words = lower_words(text)
                     seen.update(words)
@@ -88,24 +94,22 @@ def corpus_size(docs: DataFrame) -> tuple[int, int, int]:
                         yield flush()
         yield flush()
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack(k, np.uint64, True) for k in rows["keys"]])
-        return pd.DataFrame({"words": [len(np.unique(keys))], **{c: [rows[c].sum()] for c in ("chars", "tokens", "texts")}})
-
+    scratch = Scratch(docs.sparkSession, "lm-size")
     with shuffles_dropped(docs.sparkSession):
-        found = docs.mapInPandas(gather, "part long, keys binary, chars long, tokens long, texts long")
-        found = found.groupBy("part").applyInPandas(merge, "words long, chars long, tokens long, texts long")
-        got = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "tokens", "words", "texts")]).first()
-    return int(got[0]), int(got[1]), int(got[2]) + (1 if got[3] else 0)
+        found = scratch.keep(map_batches(docs, gather, "keys array<long>, chars long, tokens long, n_texts long"))
+        got = found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "tokens", "n_texts")]).first()
+        distinct = found.select(F.explode("keys").alias("k")).distinct().count()
+        scratch.drop(found)
+    return int(got[0]), int(got[1]), distinct + (1 if got[2] else 0)
 
 
 class Block:
     """The texts of a block as word numbers, with its n-grams, their hashes and its own training counts."""
 
-    def __init__(self, texts, held):
+    def __init__(self, rows_of_text, held):
         numbers: dict[bytes, int] = {}
         rows = []
-        for text in texts:
+        for text in rows_of_text:
             words = lower_words(text)
             rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words)))
         self.n_words = n = len(numbers)
@@ -202,20 +206,24 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, mu: float = MU, b
     shift = np.uint64(64 - (parts.bit_length() - 1)) if parts > 1 else None
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
-    def count(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
-        keys, own = Block(texts["text"], texts["held_out"]).keys()
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, own = Block(texts(rows), rows["held_out"].to_numpy()).keys()
         order = np.argsort(keys, kind="stable")
         keys, own = keys[order], own[order]
         part = (keys >> shift).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(part, np.arange(1, parts))
-        some = [(i, k, c) for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(own, cuts), strict=True)) if len(k)]
-        return pd.DataFrame({"part": [x[0] for x in some], "block": key[0], "keys": [pack(x[1], True) for x in some], "counts": [pack(x[2]) for x in some]})
-
-    def answer(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(k) // 8 for k in sent["keys"]]
-        keys = np.concatenate([unpack(k, np.uint64, True) for k in sent["keys"]])
-        own = np.concatenate([unpack(c, np.int64) for c in sent["counts"]])
-        block = np.repeat(sent["block"].to_numpy(), sizes)
+        some, first = np.unique(part, return_index=True)  # parts that the block has n-grams of, no others
+        ends = np.append(first, len(keys))[1:]
+        return pa.Table.from_batches([as_batch({
+            "part": some, "block": np.full(len(some), key[0].as_py()),
+            "keys": [pack(keys[i:j], True) for i, j in zip(first, ends, strict=True)], "counts": [pack(own[i:j]) for i, j in zip(first, ends, strict=True)],
+        }, SENT)])
+
+    def answer(key: tuple, sent: pa.Table) -> pa.Table:
+        packed = sent["keys"].to_pylist()
+        keys = np.concatenate([unpack(k, np.uint64, True) for k in packed])
+        own = np.concatenate([unpack(c, np.int64) for c in sent["counts"].to_pylist()])
+        block = np.repeat(sent["block"].to_numpy(), [len(k) // 8 for k in packed])
+        del packed
         order = np.argsort(keys, kind="stable")
         keys, own, block = keys[order], own[order], block[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -223,31 +231,32 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, mu: float = MU, b
         more = total > own
         keys, extra, block = keys[more], (total - own)[more], block[more]
         order = np.argsort(block, kind="stable")
-        names, at = np.unique(block[order], return_index=True)
-        cuts = at[1:] if len(names) else []
-        rows = list(zip(names, np.split(keys[order], cuts), np.split(extra[order], cuts), strict=False))
-        return pd.DataFrame({"block": [r[0] for r in rows], "keys": [pack(r[1], True) for r in rows], "extra": [pack(r[2]) for r in rows]})
-
-    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = Block(texts["text"], texts["held_out"])
-        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k, np.uint64, True) for k in answers["keys"]]])
-        extra = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in answers["extra"]]])
+        keys, extra = keys[order], extra[order]
+        names, first = np.unique(block[order], return_index=True)
+        ends = np.append(first, len(keys))[1:]
+        return pa.Table.from_batches([as_batch({
+            "block": names, "keys": [pack(keys[i:j], True) for i, j in zip(first, ends, strict=True)], "extra": [pack(extra[i:j]) for i, j in zip(first, ends, strict=True)],
+        }, ANSWERED)])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(texts(rows), rows["held_out"].to_numpy())
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpack(k, np.uint64, True) for k in answers["keys"].to_pylist()]])
+        extra = np.concatenate([np.zeros(0, np.int64), *[unpack(x, np.int64) for x in answers["extra"].to_pylist()]])
         order = np.argsort(keys)
         words, pairs = block.totals(keys[order], extra[order])
         model = Automaton(block, words, pairs, tokens, distinct, mu)
         seen = words > 0
-        doc = np.repeat(np.arange(len(texts)), block.lengths)
-        return pd.DataFrame({
-            "doc_id": texts["doc_id"].astype("Int64"),
-            "held_out": texts["held_out"],
+        doc = np.repeat(np.arange(len(rows)), block.lengths)
+        return pa.Table.from_batches([as_batch({
+            "doc_id": rows["doc_id"],
+            "held_out": rows["held_out"],
             "n_tokens": block.lengths,
-            "n_known": np.bincount(doc, weights=seen[block.words], minlength=len(texts)).astype(np.int64),
-            "train_tokens": tokens,
-            "base_score": np.bincount(doc, weights=model.root[block.words], minlength=len(texts)),
+            "n_known": np.bincount(doc, weights=seen[block.words], minlength=len(rows)).astype(np.int64),
+            "train_tokens": np.full(len(rows), tokens, np.int64),
+            "base_score": np.bincount(doc, weights=model.root[block.words], minlength=len(rows)).astype(np.float64),
             "score": model.traverse(block),
-        })
+        }, SCORED)])
 
-    sent = dealt.groupBy("block").applyInPandas(count, "part int, block int, keys binary, counts binary")
-    answers = sent.groupBy("part").applyInPandas(answer, "block int, keys binary, extra binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
+    sent = dealt.groupBy("block").applyInArrow(count, SENT)
+    answers = sent.groupBy("part").applyInArrow(answer, ANSWERED)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)

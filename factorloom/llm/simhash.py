@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm.batches import map_batches, texts
 from factorloom.llm.tiles import Forest, make_tiles, pair_tiles
 from factorloom.llm.words import lower_words
 from factorloom.operators.components import connected_components
@@ -49,15 +50,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: dict | None = None) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0. carry: name -> type of columns beside."""
+    carry = carry or {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            made = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": made.view(np.int64)})
+            made = np.array([fingerprint(t, shingle) for t in texts(batch)], dtype=np.uint64)
+            yield {**{c: batch.column(c) for c in ("doc_id", *carry)}, "fp": made.view(np.int64)}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast(k).alias(c) for c, k in carry.items()]]
+    return map_batches(docs.select(*columns, "text"), run, "doc_id long, fp long" + "".join(f", {c} {k}" for c, k in carry.items()))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,18 +80,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int
     )
     pairs = pair_tiles(tiles, ["ones"], reach=radius)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for a, b, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
-                a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+            for a, b, same in zip(*(batch.column(c) for c in ("a", "b", "same")), strict=True):
+                a, b, same = a.values.to_numpy(), b.values.to_numpy(), same.as_py()
                 forest, shift = Forest(len(a) if same else len(a) + len(b)), 0 if same else len(a)
                 for i, j in near_pairs(a.view(np.uint64), b.view(np.uint64), same, radius):
                     forest.link(i, j + shift)
                 every = a if same else np.concatenate([a, b])
                 nodes, roots = forest.edges()
-                yield pd.DataFrame({"u": every[nodes], "v": every[roots]})
+                yield {"u": every[nodes], "v": every[roots]}
 
-    return pairs.select("a", "b", "same").mapInPandas(compare, "u long, v long")
+    return map_batches(pairs.select("a", "b", "same"), compare, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -109,15 +112,23 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest doc_id stays.
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id, nulls last, the one whose text has the least hash.
 
-    Rows that repeat its doc_id and text are one row too. Rows with a null doc_id can't be named and all stay.
+    Rows that repeat that doc_id and text are one row too. So a doc_id with several texts keeps only
+    those of its rows that lead a component, and a component of null ids keeps one row. Null and empty
+    texts link with each other. Columns pass as they are; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash-stage")
-    found = scratch.keep(simhash_components(docs, **how))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    made = scratch.keep(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), shingle, {"mark": "long"}))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "mark"))
+    distinct = scratch.keep(made.groupBy("fp").agg(first.alias("first")))
+    parts = connected_components(scratch.keep(fingerprint_links(distinct.select("fp"), radius, tile_rows)))
+    joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    leads = joined.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"), F.lit(True).alias("_leads"))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))  # never null, so null ids meet by equality
+    leads = leads.select(key.alias("_key"), "_mark").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
-    named = rows.where("_id is not null").join(keep, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id", "_text"])
-    return named.unionByName(rows.where("_id is null")).select("row.*")
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_key"), mark.alias("_mark"))
+    return rows.join(leads, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select("row.*")

@@ -4,7 +4,9 @@ The best segmentation of a pre-token is the one with the greatest sum of piece s
 score of a prefix does not depend on what follows, so pre-tokens go into a trie: each node keeps
 its forward score and the number of tokens of its best path, made once when the node is made, and a
 pre-token's count is stored at its terminal. Each task has a trie of the pre-tokens it meets and
-starts a new one beyond MAX_NODES, so memory is bounded and nothing is shuffled.
+starts a new one beyond MAX_NODES; pre-tokens of over LONG letters share no prefix worth keeping and go
+through the same recurrence in a window as long as the longest piece. So memory is bounded whatever a
+text holds, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,12 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import log
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factorloom.llm.batches import map_batches, texts
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MAX_NODES = 600_000
+LONG = 2_000
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -54,7 +60,29 @@ class CountTrie(dict):
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.tokens = [0.0], [0]
 
+    def long_count(self, word: str) -> int:
+        """The count of one pre-token without nodes: scores and counts of the last prefixes only, in a ring."""
+        ring, scores = self.longest + 1, self.scores
+        score, tokens = [0.0] * ring, [0] * ring
+        for end, letter in enumerate(word, 1):
+            before = (end - 1) % ring
+            best, count, single = float("-inf"), 0, False
+            for length in self.lengths.get(letter, ()):
+                if length > end:
+                    break
+                s = scores.get(word[end - length : end])
+                if s is not None:
+                    single = single or length == 1
+                    at = (end - length) % ring
+                    best, count = max((best, count), (s + score[at], tokens[at] + 1), key=lambda x: (x[0], -x[1]))
+            if not single and (s := score[before] + self.unknown) > best:
+                best, count = s, tokens[before] + len(letter.encode("utf-8", "replace"))
+            score[end % ring], tokens[end % ring] = best, count
+        return tokens[len(word) % ring]
+
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            return self.long_count(word)
         if len(self.score) > MAX_NODES:
             self.reset()
         node, path = 0, [0]
@@ -97,15 +125,15 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     ignored and repeated rows repeat.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         trie = CountTrie(piece_scores(path))
         for batch in batches:
             words, tokens, chars = [], [], []
-            for text in batch["text"]:
-                found = [SPACE_MARK + w.decode("utf-8") for w in (text or "").encode("utf-8", "replace").split()]
+            for text in texts(batch):
+                found = [SPACE_MARK + w.decode("utf-8") for w in text.encode("utf-8", "replace").split()]
                 words.append(len(found))
                 tokens.append(sum(map(trie.__getitem__, found)))
-                chars.append(len(text or ""))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": words, "n_tokens": tokens, "n_chars": chars})
+                chars.append(len(text))
+            yield {"doc_id": batch.column("doc_id"), "n_words": words, "n_tokens": tokens, "n_chars": chars}
 
-    return docs.select("doc_id", "text").mapInPandas(count, "doc_id long, n_words long, n_tokens long, n_chars long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), count, "doc_id long, n_words long, n_tokens long, n_chars long")

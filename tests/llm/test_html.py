@@ -45,7 +45,7 @@ def test_text_split_over_containers(spark):
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == "\n\n".join(t.strip() for t in SPLIT[r.page_id][1]) for r in got) and len(got) == len(rows)
     # the host's path, on a page where several containers have it
-    assert html_text.Page(f'<body><div class="s">{A}</div><p>x</p><div class="s">{B}</div>').text("html>body>div.s") == f"{A.strip()}\n\n{B.strip()}"
+    assert html_text.Page(f'<body><div class="s">{A}</div><p>x</p><div class="s">{B}</div>').text(html_text.path_name("body", "div.s")) == f"{A.strip()}\n\n{B.strip()}"
 
 
 def test_letters_that_grow_in_lower_case():
@@ -131,3 +131,29 @@ def test_hosts_agree(spark):
     assert got[20] == ("Short.", 6) and got[21] == ("", 0) and got[None] == ("x", 1) and got[22] == ("y", 1)
     assert all(got[i][0].startswith(f"The story {i} goes") and "noise" not in got[i][0] for i in range(9))
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        page = "<p>top<b>" + "<div><p>a</b></i>" * n + "<p>end" + "</span>" * n
+        assert html_text.Page(page).text(None).endswith("end")
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(20_000) for _ in range(3)) < 40 * min(seconds(2_000) for _ in range(3)) + 0.5
+
+
+def test_pages_beyond_the_broadcast(spark):
+    rows = [(i, f"https://h{i % 3}.example/{i}", f'<body><div class="story"><p>Text {i} of the page.</p></div><div class="sidebar">x</div>') for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.text) for r in html_text.extract_pages(df, broadcast_hosts=1).collect()}
+    assert got == {(i, f"Text {i} of the page.") for i in range(60)}
+
+
+def test_html_does_not_move(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plan = html_text.extract_pages(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

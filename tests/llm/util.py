@@ -46,3 +46,7 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     norm = lambda rows: sorted(map(repr, [tuple(int(x) if isinstance(x, (bool, int)) or isinstance(x, float) and x == int(x) else x for x in r) for r in rows]))
     rows = lambda f: [tuple(None if pd.isna(x) else (round(float(x), 6) if isinstance(x, float) else x) for x in r) for r in f[cols].astype(object).itertuples(index=False)]
     assert norm(rows(a)) == norm(rows(b))
+
+
+#: Ids beyond 2^53, which a float can't tell apart, beside a null.
+BIG = 2**62 + 12345
