@@ -5,6 +5,11 @@ of copies of any size costs a row. Distinct fingerprints go into tiles by popula
 whose counts differ by more than the radius can't hold a link and never meet. A task reports the
 links of a tile pair as a spanning forest, which keeps every component and is no longer than the
 tiles, however dense the links are.
+
+A fingerprint has one or more words of 64 bits. The bits of a pair differ with the probability
+arccos(c) / pi, where c is the cosine of the shingle counts, so more words estimate the similarity more
+sharply. The corpus stage takes STAGE_WORDS words of 5-word shingles and a radius that most pairs of
+similarity 0.8 are within; unlike texts differ in half of all bits.
 """
 
 from __future__ import annotations
@@ -28,74 +33,106 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE_ROWS = 8192
+#: The corpus stage: 256 bits of 5-word shingles; a pair of Jaccard similarity 0.8 differs in 39 of them, with deviation 6.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 48
 _STRIP = 128
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits: bit i is 1 if set in over half of the XXH64 hashes of the text's shingles, repeats included."""
+def _word(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit word of each shingle: the hash itself, then mixes of it."""
+    if k == 0:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, n_words: int = 1) -> bytes:
+    """8 * n_words bytes, big-endian: a bit is 1 if set in over half of the hashes of the text's shingles, repeats included."""
     words = lower_words(text)
     if not words:
-        return 0
+        return bytes(8 * n_words)
     line = b" ".join(words)
     ends = [*accumulate(map(len, words), lambda a, n: a + 1 + n)]
     starts = [0, *[e + 1 for e in ends[:-1]]]
     digest = xxhash.xxh64_intdigest
     last = min(shingle, len(words)) - 1
-    hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[last:], strict=False)], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
+    hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[last:], strict=False)], dtype=np.uint64)
+    ones = np.zeros((n_words, 64), dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        part = hashes[at : at + _CHUNK]
+        for k in range(n_words):
+            bits = np.unpackbits(_word(part, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: dict | None = None) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0. carry: name -> type of columns beside."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, carry: dict | None = None) -> DataFrame:
+    """(doc_id, fp) of docs(doc_id, text). Null and empty texts have fingerprint 0. carry: name -> type of columns beside."""
     carry = carry or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            made = np.array([fingerprint(t, shingle) for t in texts(batch)], dtype=np.uint64)
-            yield {**{c: batch.column(c) for c in ("doc_id", *carry)}, "fp": made.view(np.int64)}
+            yield {**{c: batch.column(c) for c in ("doc_id", *carry)}, "fp": [fingerprint(t, shingle, n_words) for t in texts(batch)]}
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast(k).alias(c) for c, k in carry.items()]]
-    return map_batches(docs.select(*columns, "text"), run, "doc_id long, fp long" + "".join(f", {c} {k}" for c, k in carry.items()))
+    return map_batches(docs.select(*columns, "text"), run, "doc_id long, fp binary" + "".join(f", {c} {k}" for c, k in carry.items()))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i, j) of a[i], b[j] at most radius bits apart, strip by strip; i < j where both are one tile."""
+    """Index arrays (i, j) of rows a[i], b[j] (each of one or more words) at most radius bits apart, strip by strip; i < j where both are one tile."""
     for at in range(0, len(a), _STRIP):
         from_b = at if same else 0
-        near = np.bitwise_count(a[at : at + _STRIP, None] ^ b[None, from_b:]) <= radius
-        i, j = np.nonzero(near)
+        apart = np.bitwise_count(a[at : at + _STRIP, 0, None] ^ b[None, from_b:, 0])
+        if a.shape[1] > 1:
+            apart = apart.astype(np.uint16)
+            for k in range(1, a.shape[1]):
+                apart += np.bitwise_count(a[at : at + _STRIP, k, None] ^ b[None, from_b:, k])
+        i, j = np.nonzero(apart <= radius)
         i, j = i + at, j + from_b
         yield (i[i < j], j[i < j]) if same else (i, j)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): links that connect all rows of distinct(fp) at most `radius` bits apart, a spanning forest per tile pair."""
-    tiles = Scratch(distinct.sparkSession, "simhash-tiles").keep(
-        make_tiles(distinct.withColumn("ones", F.bit_count("fp")), ["ones"], "fp", F.col("fp"), tile_rows, few_groups=True)  # 65 counts at most
-    )
-    pairs = pair_tiles(tiles, ["ones"], reach=radius)
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, n_words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(u, v): links that connect all rows of distinct(cls, fp) at most `radius` bits apart, a spanning forest per tile pair."""
+    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1 + 4 * half, 4)), 16, 10).cast("long")) for k in range(n_words) for half in (0, 1)), F.lit(0))
+    width = max(1, radius // 4)  # tiles of one small range of counts; those whose ranges lie beyond the radius never meet
+    grouped = distinct.select("cls", "fp", F.floor(ones / width).cast("int").alias("ones"))
+    # at most 64 * n_words + 1 groups
+    tiles = make_tiles(grouped, ["ones"], "cls", F.struct("cls", "fp"), tile_rows, few_groups=True)
+    tiles = Scratch(distinct.sparkSession, "simhash-tiles").keep(tiles)
+    pairs = pair_tiles(tiles, ["ones"], reach=-(-radius // width))
+
+    def arrays(items: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = items.values
+        fps = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype=">u8").astype(np.uint64)
+        return rows.field("cls").to_numpy(), fps.reshape(-1, n_words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for a, b, same in zip(*(batch.column(c) for c in ("a", "b", "same")), strict=True):
-                a, b, same = a.values.to_numpy(), b.values.to_numpy(), same.as_py()
+                (ida, a), (idb, b), same = arrays(a), arrays(b), same.as_py()
                 forest, shift = Forest(len(a) if same else len(a) + len(b)), 0 if same else len(a)
-                for i, j in near_pairs(a.view(np.uint64), b.view(np.uint64), same, radius):
+                for i, j in near_pairs(a, b, same, radius):
                     forest.link(i, j + shift)
-                every = a if same else np.concatenate([a, b])
+                every = ida if same else np.concatenate([ida, idb])
                 nodes, roots = forest.edges()
                 yield {"u": every[nodes], "v": every[roots]}
 
     return map_batches(pairs.select("a", "b", "same"), compare, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row of docs(doc_id, text).
+def fingerprint_classes(made: DataFrame, first, radius: int, n_words: int, tile_rows: int, scratch: Scratch) -> DataFrame:
+    """(cls, fp, first, c): distinct fingerprints of made with the aggregate first and the component c that links within the radius give."""
+    distinct = scratch.keep(made.groupBy("fp").agg(first.alias("first")).withColumn("cls", F.monotonically_increasing_id()))
+    parts = connected_components(scratch.keep(fingerprint_links(distinct, radius, n_words, tile_rows)))
+    return distinct.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls"))
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, n_words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a word), component_id for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most `radius` bits, itself
     included; rows with no words have fingerprint zero and link like others. Repeated rows repeat; a
@@ -103,16 +140,16 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    made = scratch.keep(fingerprints(docs, shingle))
-    distinct = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(scratch.keep(fingerprint_links(distinct.select("fp"), radius, tile_rows)))
-    joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    ids = joined.groupBy("c").agg(F.min("least").alias("component_id"))
+    made = scratch.keep(fingerprints(docs, shingle, n_words))
+    joined = fingerprint_classes(made, F.min("doc_id"), radius, n_words, tile_rows, scratch)
+    ids = joined.groupBy("c").agg(F.min("first").alias("component_id"))
     classes = joined.join(ids, "c").select("fp", "component_id")
-    return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return made.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, n_words: int = STAGE_WORDS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
     """docs with one row of each component: of the smallest doc_id, nulls last, the one whose text has the least hash.
 
     Rows that repeat that doc_id and text are one row too. So a doc_id with several texts keeps only
@@ -121,14 +158,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     """
     scratch = Scratch(docs.sparkSession, "simhash-stage")
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    made = scratch.keep(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), shingle, {"mark": "long"}))
+    made = scratch.keep(fingerprints(docs.select("doc_id", "text", mark.alias("mark")), shingle, n_words, {"mark": "long"}))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "mark"))
-    distinct = scratch.keep(made.groupBy("fp").agg(first.alias("first")))
-    parts = connected_components(scratch.keep(fingerprint_links(distinct.select("fp"), radius, tile_rows)))
-    joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    leads = joined.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"), F.lit(True).alias("_leads"))
-    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))  # never null, so null ids meet by equality
-    leads = leads.select(key.alias("_key"), "_mark").distinct()
+    joined = fingerprint_classes(made, first, radius, n_words, tile_rows, scratch)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))  # noqa: E731  never null, so null ids meet by equality
+    leads = joined.groupBy("c").agg(F.min("first").alias("k")).select(key(F.col("k.id")).alias("_key"), F.col("k.mark").alias("_mark")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_key"), mark.alias("_mark"))
+    rows = docs.select(row.alias("row"), key(F.col("doc_id").cast("long")).alias("_key"), mark.alias("_mark"))
     return rows.join(leads, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).select("row.*")

@@ -38,6 +38,24 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def slow_wide(text, shingle, n_words):
+    """The fingerprint of several words with Python integers."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    whole, mask = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed=42) for i in range(max(1, len(words) - shingle + 1))], 2**64 - 1
+    out = 0
+    for k in range(n_words):
+        h = whole
+        if k:
+            h = [(x + k * 0x9E3779B97F4A7C15) & mask for x in h]
+            h = [((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask for x in h]
+            h = [((x ^ x >> 27) * 0x94D049BB133111EB) & mask for x in h]
+            h = [x ^ x >> 31 for x in h]
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return out
+
+
 def check(spark, rows, **how):
     got = simhash.simhash_components(with_clashes(docs_of(spark, rows)), **how).collect()
     fps = [slow_fingerprint(r[1]) for r in rows]
@@ -59,10 +77,25 @@ def test_simhash(spark):
     check(spark, docs)
 
 
+def test_wide_fingerprints(spark):
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(rng.randrange(40, 200))] for _ in range(30)]
+    near = [[("new" if rng.random() < 0.01 else w) for w in b] for b in base] + [[("new" if rng.random() < 0.1 else w) for w in b] for b in base]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base + near)] + [(900, None), (901, "")]
+    got = simhash.simhash_components(docs_of(spark, rows), shingle=5, radius=48, n_words=4, tile_rows=11).collect()
+    fps = [slow_wide(r[1], 5, 4) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 48]
+    want = least_reachable(len(rows), links, [r[0] for r in rows])
+    assert sorted(map(tuple, got)) == sorted((r[0], f"{f:064x}", c) for r, f, c in zip(rows, fps, want, strict=True))
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()}
+    assert kept == set(want) and set(range(30)) <= kept and len(kept & set(range(30, 60))) <= 3
+
+
 def test_simhash_stage_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (9, "quite other words in here now"), (None, None)]
     left = simhash.drop_near_copies(with_clashes(docs_of(spark, rows)))
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 9] and left.first()["size"] == "clash"
+    assert simhash.drop_near_copies(docs_of(spark, [])).count() == 0
 
 
 def test_spark_hash_is_the_same():
