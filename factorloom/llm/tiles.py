@@ -14,12 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tiles of a group grow with it, up to so many rows, before there are more than FEW_TILES of them: each row is sent once for each tile.
+FEW_TILES, LARGEST_TILE = 16, 1 << 17
+
+
 def make_tiles(rows: DataFrame, group: list[str], key: str, payload: Column, tile_rows: int, few_groups: bool = False) -> DataFrame:
     """(*group, tile, items): items holds the payload of each row dealt to that tile, ordered by key.
 
     few_groups says that the number of groups has a small bound, so that their sizes may be broadcast.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(tile_rows)).alias("_n"))
+    n = F.count("*")
+    tiles = F.least(F.ceil(n / F.lit(tile_rows)), F.greatest(F.lit(FEW_TILES), F.ceil(n / F.lit(max(tile_rows, LARGEST_TILE)))))
+    sizes = rows.groupBy(*group).agg(tiles.alias("_n"))
     sizes = F.broadcast(sizes) if few_groups else sizes
     dealt = rows.select(*group, F.col(key).alias("_k"), payload.alias("_p")).join(sizes, group)
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("_k"), F.col("_n")))

@@ -133,15 +133,38 @@ def test_embeddings_equal_sql(spark):
 
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(0)
-    x, q = rng.standard_normal((1, 64)), rng.standard_normal((1, 64))
-    x, q = x / np.linalg.norm(x), 0.8 * x / np.linalg.norm(x) + 0.6 * q / np.linalg.norm(q)
-    q /= np.linalg.norm(q)
-    made = []
-    for seed in range(400):
-        turn = embedding_dedup.rotation(64, seed)
-        _, code, f = embedding_dedup.encode(x, turn)
-        s = (np.unpackbits(code, axis=1).astype(float) * 2 - 1) / 8
-        inner = ((q @ turn) @ s.T).item()
-        made.append(inner / f[0])
-        assert f[0] * inner + np.sqrt(1 - f[0] ** 2) * np.sqrt(1 - inner**2) >= (q @ x.T).item() - 1e-9
-    assert abs(np.mean(made) - (q @ x.T).item()) < 0.02
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((1, 64)))
+    far = rng.standard_normal((40, 64))
+    far = unit(far - (far @ x.T) * x)  # across x
+    for c in (0.0, 0.8, 0.98, 0.995):
+        q = c * x + np.sqrt(1 - c * c) * far
+        made = []
+        for seed in range(150):
+            turn = embedding_dedup.rotation(64, seed)
+            a, b = embedding_dedup.encode(x, turn), embedding_dedup.encode(q, turn)
+            made.append(embedding_dedup.estimates(b, a)[:, 0])
+            if c >= 0.98:  # neither bound gives up a link
+                assert embedding_dedup.undecided(b, a, 0.98, None).all() and embedding_dedup.undecided(b, a, 0.98, 6.0).all()
+            if c == 0.0:
+                assert not embedding_dedup.undecided(b, a, 0.98, 6.0).any()
+        assert abs(np.mean(made) - c) < 0.01
+
+
+def test_codes_decide_and_vectors_of_decided_pairs_stay(spark):
+    """Recall against brute force on random near copies, and how few rows the exact pass sees."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1500, 64))
+    base[1000:] = base[:500] + rng.standard_normal((500, 64)) * 0.19 * np.linalg.norm(base[:500], axis=1, keepdims=True) / 8
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(base)], "vec_id long, embedding array<double>, label string")
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    degree = (u @ u.T >= 0.98).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(df, tile_rows=400).collect()}
+    assert [got[i] for i in range(1500)] == degree.tolist() and 100 < degree.sum() < 1000
+    classes = df.select(df.vec_id.alias("cls"), "label", "embedding")
+    codes = embedding_dedup.coded_classes(classes)
+    from pyspark.sql import functions as F
+
+    tiles = embedding_dedup.make_tiles(codes, ["label", "dim"], "cls", F.struct("cls", "packed"), 400)
+    seen = embedding_dedup.undecided_rows(tiles, 0.98, 6.0).select("cls").distinct().count()
+    assert seen <= 1100
