@@ -4,10 +4,13 @@ Each source offers its documents in a fixed shuffled order, pass after pass, as
 Its demand over training time u in [0, 1] has the density 1 - ramp + 2 * ramp * u, whose integral is
 D(u) = (1 - ramp) * u + ramp * u^2. A document that starts at word x of a stream with target g is
 trained on at the position u that solves D(u) = x / g; sorting by position gives the training order.
+That order is a property of a written table: its files are numbered by range, and `with_place` reads it
+back as a column.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +62,8 @@ def plan_mix(docs: DataFrame, keep: tuple = ("doc_id",), weights: tuple = WEIGHT
 
     A stream ends at its goal, so the last document of its last pass may give only part of its words.
     Null texts have size 0, take nothing and get no copies; a null source is a source of its own.
-    The order inside a source is by the MD5 of doc_id, then doc_id and size, so reruns agree and
-    rows that tie in all three are alike. A source is cut into buckets by that hash, each ordered
+    The order inside a source is by the MD5 of doc_id, then doc_id, size and a hash of the text, so
+    reruns agree and rows that tie in all are alike. A source is cut into buckets by that hash, each ordered
     by its own task; only bucket sums are added up across them.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -72,13 +75,13 @@ def plan_mix(docs: DataFrame, keep: tuple = ("doc_id",), weights: tuple = WEIGHT
     slim = scratch.keep(docs.select("source", size.alias("size"), share.alias("share")))
     sources = scratch.keep(source_targets(slim, weights, max_passes).select(key, "source_size", "n", "ramp", "target", "goal"))
     sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", "source", key, size.alias("size"), h.alias("h"), share.alias("share"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "doc_id", "source", key, size.alias("size"), h.alias("h"), share.alias("share"), F.xxhash64("text").alias("mark"))
     rows = rows.join(sources, "key").withColumn("bucket", bucket(F.col("share"))).drop("share")
     sums = slim.select(key, "size", "share").join(sources, "key").groupBy("key", bucket(F.col("share")).alias("bucket")).agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead"))
     rows = rows.join(sums, ["key", "bucket"])
-    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("passes", passes)
@@ -99,6 +102,25 @@ def training_order(plan: DataFrame) -> DataFrame:
     return (
         plan.select("row", "size", F.explode("copies").alias("copy"))
         .where(F.col("copy.words") * 2 >= F.col("size"))
-        .orderBy("copy.position", "row.doc_id")
+        .orderBy("copy.position", "row.doc_id", "copy.words")
         .select("row.*")
     )
+
+
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`: 0 .. n-1 in the order in which the Parquet files that docs reads were written.
+
+    Spark numbers a sorted table's files by range and keeps rows in place inside them. Only the number
+    of rows of each file is put together. Null where docs isn't read straight from files.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        marked = docs.withColumn("_file", at["file_name"]).withColumn("_row", at["row_index"])
+        marked.schema  # noqa: B018  resolves the columns, which only files have
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    order = Window.orderBy(F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long"), "_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    counts = marked.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    ahead = counts.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_ahead"))
+    ahead = Scratch(docs.sparkSession, "places").keep(ahead)
+    return marked.join(ahead, F.col("_file") == F.col("_of")).withColumn(name, F.col("_row") + F.col("_ahead")).drop("_file", "_row", "_of", "_ahead")

@@ -2,12 +2,13 @@
 
 Grades are ordered: 0 poor, 1 well written but toxic, 2 good. All grades share one weight vector over
 hashed text features, and ordered thresholds cut the score: P(grade <= k) = sigmoid(t_k - w.x). The
-expected grade and the tail probability P(grade = 2) come from that; rows with a tail probability of
-at least SELECT_AT are selected.
+expected grade and the tail probability P(grade = 2) come from that; rows whose tail probability
+reaches the model's cut are selected. The cut is chosen on a fifth of the labelled rows, which the fit
+leaves out: the greatest that selects KEEP_GOOD of the good ones, within CUT_RANGE.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (the smallest hashes of doc_id, spread over
-all labels); their hashed features, not their texts, go to the driver. Scoring reads every whole
-text where it lies, with a model of 2^18 weights whatever the corpus.
+The model is fitted on at most TRAIN_ROWS documents that have a label (the smallest hashes of doc_id)
+and at most TRAIN_FEATURES features of them; the hashed features, not the texts, go to the driver.
+Scoring reads every whole text where it lies, with a model of 2^18 weights whatever the corpus.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.session import free_name
+from factorloom.llm.batches import map_batches, texts
+from factorloom.session import Scratch, free_name
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 8_000
+#: Bounds on the labelled sample: rows, and features of all rows together (rows in hash order up to that sum; 64 MB).
+TRAIN_ROWS, TRAIN_FEATURES = 8_000, 16_000_000
 MIN_ROWS = 20
+#: The share of good held-out training rows that the cut must keep, where the cut may lie, and where it lies with too few such rows.
+KEEP_GOOD, CUT_RANGE, PLAIN_CUT, MIN_GOOD = 0.99, (0.05, 0.95), 0.5, 50
 STEPS, RATE, MOMENTUM, DAMP, SPARSE = 200, 0.1, 0.8, 0.01, 0.0015
-SELECT_AT = 0.6
 _CACHE_WORDS = 200_000
 SCORED = "p0 double, p1 double, p2 double, expected_grade double, tail_prob double"
 
@@ -74,10 +79,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class CumulativeLink:
-    """Shared weights and two ordered thresholds."""
+    """Shared weights and two ordered thresholds; select_at and fitted_rows say what train made of the sample."""
 
     def __init__(self, weights: np.ndarray, cuts: np.ndarray):
         self.weights, self.cuts = weights.astype(np.float32), cuts
+        self.select_at, self.fitted_rows = PLAIN_CUT, 0
+
+    def score(self, features: np.ndarray) -> float:
+        return self.weights[features].sum(dtype=np.float64)
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], grade: np.ndarray) -> CumulativeLink:
@@ -130,46 +139,77 @@ class CumulativeLink:
         return np.stack([low, high - low, 1 - high], axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> CumulativeLink:
-    """Fits on at most train_rows labelled rows of docs(doc_id, text)."""
-    sample = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_rows rows of 12 bytes
+def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> DataFrame:
+    """(doc_id, grade, ids): features and grades of a bounded sample of the documents that have a label, a row for each doc_id.
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The sample is taken after labels have met documents, so labels of other documents cost nothing of
+    it. A doc_id with several texts gives the one with the least hash.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = grades(labels).join(docs.select("doc_id"), "doc_id", "left_semi")
+    sample = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    rows = docs.join(F.broadcast(sample), "doc_id")  # at most train_rows rows of 12 bytes
+    rows = rows.select("doc_id", "grade", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         make = Features()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "ids": pd.Series([make.of(t) for t in batch["text"]], dtype=object)})
-
-    found = rows.mapInPandas(features, "doc_id long, grade int, ids array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return CumulativeLink.fit([np.asarray(x.values, dtype=np.int32) for x in found["ids"]], found["grade"].to_numpy().astype(np.int64))
+            ids = pa.array([make.of(t) for t in texts(batch)], pa.list_(pa.int32()))
+            yield {**{c: batch.column(c) for c in ("doc_id", "grade", "mark")}, "ids": ids}
+
+    made = map_batches(rows, features, "doc_id long, grade int, mark long, ids array<int>")
+    made = made.groupBy("doc_id").agg(F.min(F.struct("mark", "grade", "ids")).alias("m")).select("doc_id", "m.grade", "m.ids")
+    made = scratch.keep(made)
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # train_rows rows at most
+    fits = made.select("doc_id", F.sum(F.size("ids").cast("long")).over(upto).alias("n")).where(F.col("n") <= train_features).select("doc_id")
+    return made.join(F.broadcast(fits), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> CumulativeLink:
+    """Fits on four fifths of the sample of docs(doc_id, text) and chooses the cut on the rest."""
+    found = training_sample(docs, labels, train_rows, train_features).toArrow().sort_by("doc_id")
+    rows = [np.asarray(x.values, dtype=np.int32) for x in found["ids"]]
+    grade = found["grade"].to_numpy().astype(np.int64)
+    held = np.array([crc32(str(i).encode()) % 5 == 0 for i in found["doc_id"].to_pylist()], dtype=bool)
+    if (grade[held] == 2).sum() < MIN_GOOD:
+        held[:] = False
+    model = CumulativeLink.fit([r for r, h in zip(rows, held, strict=True) if not h], grade[~held])
+    model.fitted_rows = int((~held).sum())
+    if held.any():
+        good = model.probabilities(np.array([model.score(r) for r, h in zip(rows, held & (grade == 2), strict=True) if h]))[:, 2]
+        model.select_at = float(np.clip(np.quantile(good, 1 - KEEP_GOOD), *CUT_RANGE))
+    return model
 
 
 def grade_udf(model: CumulativeLink):
     """Column function: text -> struct of SCORED."""
 
     @F.pandas_udf(SCORED)
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scored(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         make = Features()
-        for batch in texts:
-            score = np.array([model.weights[make.of(t)].sum(dtype=np.float64) for t in batch])
-            p = model.probabilities(score)
+        for batch in columns:
+            p = model.probabilities(np.array([model.score(make.of(t)) for t in batch]))
             yield pd.DataFrame({"p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2], "expected_grade": p @ np.arange(3.0), "tail_prob": p[:, 2]})
 
     return scored
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, p0, p1, p2, expected_grade, tail_prob, selected for each row of docs(doc_id, text).
+    """doc_id, p0, p1, p2, expected_grade, tail_prob, selected, fitted_rows for each row of docs(doc_id, text).
 
     Null and empty texts have one feature of their own. Repeated rows repeat, other columns are
-    ignored. Where labels hold one grade or none, the shares of the grades decide for every row (with
-    no label at all, every row is selected).
+    ignored. Where the labelled documents have one grade or none, the shares of the grades decide for
+    every row; fitted_rows is how many documents the fit saw, and with 0 of them every row is selected.
     """
-    scored = grade_udf(train(docs, labels, train_rows))
-    return docs.select("doc_id", scored(F.col("text")).alias("s")).select("doc_id", "s.*", (F.col("s.tail_prob") >= SELECT_AT).alias("selected"))
+    model = train(docs, labels, train_rows)
+    scored = grade_udf(model)
+    rows = docs.select("doc_id", scored(F.col("text")).alias("s"))
+    return rows.select("doc_id", "s.*", (F.col("s.tail_prob") >= model.select_at).alias("selected"), F.lit(model.fitted_rows).cast("long").alias("fitted_rows"))
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: Column | float = SELECT_AT) -> DataFrame:
-    """The rows of docs whose tail probability reaches `at`, all columns as they are."""
-    name, scored = free_name(docs, "quality_scored"), grade_udf(train(docs, labels, train_rows))
-    return docs.withColumn(name, scored(F.col("text"))).where(F.col(name)["tail_prob"] >= at).drop(name)
+def select_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: Column | float | None = None) -> DataFrame:
+    """The rows of docs whose tail probability reaches `at` (the model's cut unless given), all columns as they are."""
+    model = train(docs, labels, train_rows)
+    name, scored = free_name(docs, "quality_scored"), grade_udf(model)
+    return docs.withColumn(name, scored(F.col("text"))).where(F.col(name)["tail_prob"] >= (model.select_at if at is None else at)).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, lm_score, mixing, quality, simhash, token_counts
 from factorloom.session import table
@@ -41,7 +42,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(whole(spark, sf_dir, "documents"))
-    return plan.select("row.doc_id", "size", "source_size", "target", "taken")
+    first = F.get("copies", F.lit(0))["position"]
+    found = plan.select("row.doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("passes"), F.round(first, 6).alias("position"))
+    return found.orderBy("position", "doc_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +96,15 @@ ORACLE_SQL = {
         l AS (SELECT *, ratio < (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST
                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped FROM r),
-        t AS (SELECT source, source_size, round(CASE WHEN capped THEN cap ELSE least(cap, weight * (sum(source_size) OVER ()
+        t AS (SELECT source, source_size, (weight - 2) / 4 AS ramp, round(CASE WHEN capped THEN cap ELSE least(cap, weight * (sum(source_size) OVER ()
                      - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) END, 6) AS target FROM l),
-        o AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source
+        o AS (SELECT doc_id, size, source_size, target, ramp, round(target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source
                      ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size
-                     + greatest(0, least(size, goal - goal // source_size * source_size - start)) END)::BIGINT AS taken FROM o""",
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size END AS whole FROM o),
+        q AS (SELECT *, greatest(0, least(size, goal - whole * source_size - start)) AS part, start / greatest(goal, 1) AS done FROM p)
+        SELECT doc_id, size, source_size, target, (whole * size + part)::BIGINT AS taken, (CASE WHEN size > 0 THEN whole ELSE 0 END + (part > 0)::INT)::BIGINT AS passes,
+               CASE WHEN whole * size + part > 0 THEN round(2 * done / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * done)), 6) END AS position FROM q""",
     "op10_embeddings": """
         WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL
                              AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),

@@ -71,10 +71,17 @@ def test_exact_dedup_full_index_and_withdrawal(spark, monkeypatch):
     assert len(left) == 58 and not set(left["keep_id"]) & {2, 5}
 
 
+def mixed(docs):
+    from pyspark.sql import functions as F
+
+    first = F.round(F.get("copies", F.lit(0))["position"], 6)
+    return mixing.plan_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("passes"), first.alias("position"))
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 37), f"src{i % 5}" if i % 11 else None) for i in range(400)] + [(900, "w " * 9000, "big"), (None, "a b", "src1"), (900, None, "big"), (3, "w " * 3, "src3"), (3, "w " * 3, "src3"), (70, "", "empty")]
     for docs in (docs_of(spark, rows), with_clashes(docs_of(spark, rows)), docs_of(spark, []), docs_of(spark, ODD), spark.read.parquet(f"{SF}/documents.parquet")):
-        got = mixing.plan_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken").toPandas()
+        got = mixed(docs).toPandas()
         same(got, duck(queries.ORACLE_SQL["op5_mixing"], documents=docs))
     plan = mixing.plan_mix(docs_of(spark, rows)).toPandas()
     assert (plan["taken"] <= 3 * plan["size"]).all() and abs(plan["taken"].sum() - plan["size"].sum()) <= 10
@@ -87,7 +94,7 @@ def test_mixing(spark):
 def test_mixing_buckets_do_not_change_results(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
-    got = mixing.plan_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken").toPandas()
+    got = mixed(docs).toPandas()
     same(got, duck(queries.ORACLE_SQL["op5_mixing"], documents=docs))
 
 
@@ -118,3 +125,26 @@ def test_bpe_equals_the_library(spark):
     assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {0}
     for w in ("thequickbrown" * 20, "aab" * 50, "ééé" * 9):
         assert own.parts(w) == own.long_parts(w)
+
+
+def test_order_survives_many_files(spark, tmp_path):
+    docs = docs_of(spark, [(i, "w " * (5 + i % 7), f"s{i % 3}") for i in range(3000)])
+    order = mixing.training_order(mixing.plan_mix(docs, keep=tuple(docs.columns)))
+    want = [r.doc_id for r in order.collect()]
+    order.repartitionByRange(16, "doc_id").limit(1).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        order.write.parquet(f"{tmp_path}/ordered")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    back = mixing.with_place(spark.read.parquet(f"{tmp_path}/ordered"), "place").repartition(5)
+    assert len({r.f for r in spark.read.parquet(f"{tmp_path}/ordered").selectExpr("input_file_name() f").collect()}) > 8
+    assert [r.doc_id for r in back.orderBy("place").collect()] == want and sorted(r.place for r in back.collect()) == list(range(len(want)))
+    assert {r.place for r in mixing.with_place(docs, "place").collect()} == {None}
+
+
+def test_mixing_query_inverts_and_sorts(spark):
+    plan = queries.op5_mixing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in plan.upper() and plan.lstrip().startswith("Sort")

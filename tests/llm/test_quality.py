@@ -39,3 +39,63 @@ def test_thresholds_are_ordered_and_shared_weights_rank_grades():
     w = model.weights[[10, 11, 12]]
     assert model.cuts[0] <= model.cuts[1] and w[0] < w[1] < w[2]
     assert (model.probabilities(w.astype(float)).argmax(axis=1) == [0, 1, 2]).all()
+
+
+def test_fit_and_scores_equal_a_plain_version():
+    """The same steps with dense matrices and a loop over rows, and probabilities by the formula."""
+    import math
+
+    rng = np.random.default_rng(2)
+    names, rows, grade = [3, 17, 40, 90, 200], [], []
+    for _ in range(300):
+        g = int(rng.integers(3))
+        have = [n for n, p in zip(names, ([0.8, 0.3, 0.1, 0.5, 0.5], [0.3, 0.8, 0.3, 0.5, 0.4], [0.1, 0.3, 0.8, 0.5, 0.6])[g], strict=True) if rng.random() < p]
+        rows.append(np.array(have, dtype=np.int32))
+        grade.append(g)
+    model = quality.CumulativeLink.fit(rows, np.array(grade))
+    x = np.array([[float(n in r) for n in names] for r in rows])
+    share = np.cumsum((np.bincount(grade, minlength=3) + 0.5) / (len(grade) + 1.5))[:2]
+    cuts, w, move, cut_move = np.log(share / (1 - share)), np.zeros(5), np.zeros(5), np.zeros(2)
+    rate = quality.RATE / (x.mean(axis=0) + quality.DAMP)
+    f = lambda z: 1 / (1 + math.exp(-z))
+    for _ in range(quality.STEPS):
+        slope, cut_slope = np.zeros(5), np.zeros(2)
+        for xi, g in zip(x, grade, strict=True):
+            high, low = f(cuts[g] - xi @ w) if g < 2 else 1.0, f(cuts[g - 1] - xi @ w) if g else 0.0
+            up, down = high * (1 - high) / (high - low), low * (1 - low) / (high - low)
+            slope += xi * (up - down)
+            if g < 2:
+                cut_slope[g] -= up
+            if g:
+                cut_slope[g - 1] += down
+        move = quality.MOMENTUM * move - rate * slope / len(x)
+        cut_move = quality.MOMENTUM * cut_move - 0.2 * cut_slope / len(x)
+        w = w + move
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * quality.SPARSE, 0)
+        move[w == 0] = 0
+        cuts = np.sort(cuts + cut_move)
+    assert np.allclose(model.weights[names], w, atol=1e-5) and np.allclose(model.cuts, cuts, atol=1e-6)
+    z = sum(w[[0, 3]])
+    want = [f(cuts[0] - z), f(cuts[1] - z) - f(cuts[0] - z), 1 - f(cuts[1] - z)]
+    assert np.allclose(model.probabilities(np.array([model.score(np.array([3, 90]))])), [want], atol=1e-5)
+
+
+def test_labels_of_other_documents_cost_no_sample(spark):
+    rows = [(i, ("good fine words here " if i % 2 else "bad poor stuff there ") * 5 + f"w{i}") for i in range(100)]
+    labels = [(i, i % 2, 0) for i in range(100)] + [(10_000 + i, 1, 0) for i in range(3000)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.score_quality(docs_of(spark, rows), labels, train_rows=200).collect()
+    assert {r.fitted_rows for r in got} == {100} and all(r.selected == (r.doc_id % 2 == 1) for r in got)
+    none = quality.score_quality(docs_of(spark, rows), labels.where("doc_id > 5000")).collect()
+    assert {(r.fitted_rows, r.selected) for r in none} == {(0, True)}
+
+
+def test_the_sample_is_bounded_and_has_a_row_an_id(spark):
+    rows = [(1, "a b c"), (1, "d e f"), (1, None), *[(i, f"x{i} y z " * 3) for i in range(2, 40)]]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = quality.training_sample(docs_of(spark, rows), labels).collect()
+    assert sorted(r.doc_id for r in whole) == list(range(1, 40))
+    again = quality.training_sample(docs_of(spark, rows[::-1]).repartition(5), labels).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, again))
+    some = quality.training_sample(docs_of(spark, rows), labels, train_features=100).collect()
+    assert 0 < len(some) < 20 and sum(len(r.ids) for r in some) <= 100
