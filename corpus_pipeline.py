@@ -1,7 +1,9 @@
 """Corpus pipeline: quality classifier, line dedup, SimHash near-dedup, source mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. Stages are written to the shared folder and read again in between.
+of documents. Stages are written to the shared folder and read again in between. Empty tables pass
+through; null texts count as empty; rows with a null doc_id are rows like others. The mixing stage
+writes its rows in training order, which the last stage reads back as the column position.
 """
 
 from __future__ import annotations
@@ -17,28 +19,41 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the ordinal classifier, fitted on the labelled ones among them, doesn't reject.
+
+    Without a labelled document nothing is rejected; rows with equal texts share a fate.
+    """
     return quality.select_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs; documents that were nothing else go."""
+    """Texts without later copies of repeated line runs; documents that were nothing else go.
+
+    The first copy is that of the smallest doc_id, nulls first; null and empty texts stay.
+    """
     return line_dedup.without_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each component of near copies: similarity of 0.8 or more over 5-word shingles, as 256-bit fingerprints tell it.
+
+    The smallest doc_id stays, nulls last; all texts without words are copies of each other.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
+    """Each document as often as the mix takes it, in training order. Texts without words are never taken; null is a source."""
     return mixing.training_order(mixing.plan_mix(docs, keep=tuple(docs.columns)))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of decoded texts, a row for each document that the mix takes."""
-    return bpe.bpe_codes(docs, tokenizer_file("word_bpe_49k.json"))
+    """Token counts and digests of ids and of decoded texts, a row for each document that the mix takes, sorted by position.
+
+    position numbers the rows in the order in which docs was written; null where docs isn't read from files.
+    """
+    placed = mixing.with_place(docs.select("doc_id", "text"), "position")
+    return bpe.bpe_codes(placed, tokenizer_file("word_bpe_49k.json"), carry={"position": "long"}).orderBy("position")
 
 
 STAGES = [
