@@ -3,9 +3,9 @@
 Variables that share a factor are in one component, so components can be sampled apart without any
 change of the distribution. Components are dealt into blocks; a task holds a block's factors as
 arrays and sweeps its variables colour by colour, where variables of a colour share no factor. Between
-epochs_per_sync epochs the blocks' and copies' weights are averaged by a grouped aggregate. A graph
-copy is the same blocks again under another seed. For a component too large for a task,
-`chromatic_sweep` takes one sweep as joins, aggregates and windows over the whole graph.
+epochs_per_sync epochs the blocks' and copies' weights are pooled by a grouped aggregate. A graph
+copy is the same blocks again under another seed. Components with more than max_edges edges are no
+task's: `sweeps.Sweeps` runs them as joins and aggregates, in the same run and with the same weights.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from factorloom.functions.draws import draw_by_cdf, uniform
 from factorloom.operators.components import connected_components
 from factorloom.operators.graph import FactorGraph, domain_values, edges, evidence, initial_assignment
-from factorloom.operators.relational import average_weights, conditional, merge_tallies
+from factorloom.operators.relational import conditional, delta_norms, merge_tallies
+from factorloom.operators.sweeps import Sweeps, colouring, pooled_weights  # noqa: F401  colouring belongs to a sweep
 from factorloom.schema import CATEGORICAL, FUNCTIONS, TRUTH_EPSILON, GibbsConfig
 from factorloom.session import Scratch
 
@@ -101,6 +102,7 @@ class Block:
         self.wids, self.wat = np.unique(factors["wid"].to_numpy(np.int64), return_inverse=True)
         self.w, self.fixed = np.zeros(len(self.wids)), np.zeros(len(self.wids), bool)
         self.w[self.wat], self.fixed[self.wat] = factors["w"].to_numpy(float), factors["is_fixed"].to_numpy(bool)
+        self.visits = np.zeros(len(self.wids))
         order = np.array(sorted(slots), np.int64).reshape(-1, 3)
         self.slot_factor = order[:, 2]
         self.slot_first = np.searchsorted(self.first[order[:, 0]] + order[:, 1], np.arange(self.first[-1] + 1))
@@ -202,6 +204,7 @@ class Block:
         else:
             self.w *= np.exp(-np.bincount(k, weights=np.log1p(config.reg_param * step * scale[out]), minlength=n))
         self.w -= step * np.bincount(k, weights=scale[out] * g, minlength=n)
+        self.visits += np.bincount(k, weights=scale[out] * self.feature[f] ** 2, minlength=n)
 
     def infer(self, epochs: int, config: GibbsConfig) -> tuple[np.ndarray, np.ndarray]:
         """(tally by value slot, samples by variable) on the evidence chain."""
@@ -217,7 +220,9 @@ class Block:
         return tally, drawn
 
 
-_STATE = "copy int, block long, kind string, id long, a long, b long, x double"
+_STATE = "copy int, block long, kind string, id long, a long, b long, x double, y double"
+#: Edges of a component that one task holds at most; larger components are swept by joins.
+MAX_EDGES = 2_000_000
 
 
 def block_count(graph: FactorGraph, factors_per_block: int = 100_000) -> int:
@@ -225,9 +230,9 @@ def block_count(graph: FactorGraph, factors_per_block: int = 100_000) -> int:
     return max(1, -(-graph.factors.count() // factors_per_block))
 
 
-def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _blocks(graph: FactorGraph, parts: DataFrame, n_blocks: int, copies: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(variables, factors) rows with copy and block."""
-    parts = component_of(graph).select("vid", F.pmod(F.xxhash64("component"), F.lit(n_blocks)).alias("block"))
+    parts = parts.select("vid", F.pmod(F.xxhash64("component"), F.lit(n_blocks)).alias("block"))
     truth = domain_values(graph).groupBy("vid").agg(F.transform(F.sort_array(F.collect_list(F.struct("dense", "truthiness"))), lambda x: x["truthiness"]).alias("truth"))
     start = initial_assignment(graph).withColumnRenamed("dense", "init")
     variables = evidence(graph.variables).join(parts, "vid").join(start, "vid").join(truth, "vid", "left")
@@ -243,71 +248,101 @@ def _blocks(graph: FactorGraph, n_blocks: int, copies: int, scratch: Scratch) ->
     return scratch.keep(variables.select("*", each)), scratch.keep(facts.select("*", each))
 
 
-def run_gibbs(graph: FactorGraph, config: GibbsConfig, n_blocks: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights(wid, w), tallies(vid, dense, n), nsamples(vid, n)) after learning and then inference from its state.
+def split_by_size(graph: FactorGraph, parts: DataFrame, max_edges: int, scratch: Scratch) -> tuple[FactorGraph | None, FactorGraph | None]:
+    """(graph of components of at most max_edges edges, graph of the larger ones); None where there are none. parts(vid, component)."""
+    at = graph.factors.select("fid", F.size("vifs").alias("n"), F.col("vifs")[0]["vid"].alias("vid")).join(parts, "vid")
+    large = scratch.keep(at.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > max_edges).select("component"))
+    if large.isEmpty():
+        return graph, None
 
-    Blocks and copies average their weights every epochs_per_sync epochs; unless given that is a
-    twentieth of all epochs with several blocks, which see unlike evidence, and once with a single one.
-    """
-    scratch = Scratch(graph.variables.sparkSession, "gibbs")
-    copies = max(1, config.n_datacopy)
-    variables, factors = _blocks(graph, n_blocks, copies, scratch)
-    weights = graph.weights.select("wid", F.col("init_value").alias("w"))
+    def part(how: str) -> FactorGraph:
+        vids = scratch.keep(parts.join(large, "component", how).select("vid"))
+        facts = graph.factors.withColumn("_vid", F.col("vifs")[0]["vid"]).join(vids.withColumnRenamed("vid", "_vid"), "_vid", "left_semi").drop("_vid")
+        domains = graph.domains.join(vids, "vid", "left_semi") if graph.domains is not None else None
+        return FactorGraph(graph.weights, graph.variables.join(vids, "vid", "left_semi"), facts, domains)
+
+    small = part("left_anti")
+    return None if small.variables.isEmpty() else small, part("left_semi")
+
+
+class BlockRun:
+    """Both chains of all blocks and copies, moved on by one job at a time."""
+
+    def __init__(self, graph: FactorGraph, parts: DataFrame, config: GibbsConfig, n_blocks: int, scratch: Scratch):
+        self.config, self.scratch = config, scratch
+        self.variables, self.factors = _blocks(graph, parts, n_blocks, max(1, config.n_datacopy), scratch)
+
+    def _over(self, weights: DataFrame, mode: str, epochs: int, step: float, turn: int) -> DataFrame:
+        config = self.config
 
-    def task(mode: str, epochs: int, step: float, turn: int):
         def run(key: tuple, vs: pd.DataFrame, fs: pd.DataFrame) -> pd.DataFrame:
             copy, block = key
             model = Block(vs, fs, [config.seed, int(copy), int(block), turn])
             if mode == "learn":
                 model.learn(epochs, step, config)
-                state = {"kind": "v", "id": model.vid, "a": model.state["free"], "b": model.state["evid"], "x": 0.0}
-                learned = {"kind": "w", "id": model.wids, "a": 0, "b": 0, "x": model.w}
-                return pd.concat([pd.DataFrame(state), pd.DataFrame(learned)]).assign(copy=copy, block=block)[["copy", "block", "kind", "id", "a", "b", "x"]]
-            tally, drawn = model.infer(epochs, config)
-            values = {"kind": "t", "id": np.repeat(model.vid, model.card), "a": np.concatenate([np.arange(c) for c in model.card]) if len(model.card) else [], "b": tally, "x": 0.0}
-            samples = {"kind": "n", "id": model.vid, "a": 0, "b": drawn, "x": 0.0}
-            return pd.concat([pd.DataFrame(values), pd.DataFrame(samples)]).assign(copy=copy, block=block)[["copy", "block", "kind", "id", "a", "b", "x"]]
-
-        return run
-
-    def over_blocks(vs: DataFrame, w: DataFrame, run) -> DataFrame:
-        fs = factors.join(w, "wid")
-        return scratch.keep(vs.groupBy("copy", "block").cogroup(fs.groupBy("copy", "block")).applyInPandas(run, _STATE))
-
-    left, step, turn = -(-config.n_learning_epoch // copies), config.first_step, 0
-    between = config.epochs_per_sync or (left if n_blocks == 1 else max(1, left // 20))
-    while left > 0:
-        epochs = min(left, between)
-        out = over_blocks(variables, weights, task("learn", epochs, step, turn))
-        learned = average_weights(out.where("kind = 'w'").select(F.struct("copy", "block").alias("copy"), F.col("id").alias("wid"), F.col("x").alias("w")))
-        weights = scratch.keep(weights.withColumnRenamed("w", "old").join(learned, "wid", "left").select("wid", F.coalesce("w", "old").alias("w")))
+                state = {"kind": "v", "id": model.vid, "a": model.state["free"], "b": model.state["evid"], "x": 0.0, "y": 0.0}
+                made = [state, {"kind": "w", "id": model.wids, "a": 0, "b": 0, "x": model.w, "y": model.visits}]
+            else:
+                tally, drawn = model.infer(epochs, config)
+                at = np.concatenate([np.arange(c) for c in model.card]) if len(model.card) else []
+                made = [{"kind": "t", "id": np.repeat(model.vid, model.card), "a": at, "b": tally, "x": 0.0, "y": 0.0}, {"kind": "n", "id": model.vid, "a": 0, "b": drawn, "x": 0.0, "y": 0.0}]
+            return pd.concat(map(pd.DataFrame, made)).assign(copy=copy, block=block)[["copy", "block", "kind", "id", "a", "b", "x", "y"]]
+
+        fs = self.factors.join(weights, "wid")
+        return self.scratch.keep(self.variables.groupBy("copy", "block").cogroup(fs.groupBy("copy", "block")).applyInPandas(run, _STATE))
+
+    def learn(self, weights: DataFrame, epochs: int, step: float, turn: int) -> DataFrame:
+        """(copy, block, wid, w, n) after epochs of visits."""
+        out = self._over(weights, "learn", epochs, step, turn)
         moved = out.where("kind = 'v'").select("copy", F.col("id").alias("vid"), F.col("a").alias("free"), F.col("b").alias("evid"))
-        variables = scratch.keep(variables.drop("free", "evid").join(moved, ["copy", "vid"]))
-        left, step, turn = left - epochs, step * config.diminish**epochs, turn + 1
-    epochs = -(-config.n_inference_epoch // copies)
-    out = over_blocks(variables, weights, task("infer", epochs, 0.0, turn))
-    tallies = merge_tallies(out.where("kind = 't'").select(F.col("id").alias("vid"), F.col("a").alias("dense"), F.col("b").alias("n")))
-    nsamples = out.where("kind = 'n'").groupBy(F.col("id").alias("vid")).agg(F.sum("b").alias("n"))
-    return weights, tallies, nsamples
+        self.variables = self.scratch.keep(self.variables.drop("free", "evid").join(moved, ["copy", "vid"]))
+        return out.where("kind = 'w'").select("copy", "block", F.col("id").alias("wid"), F.col("x").alias("w"), F.col("y").alias("n"))
 
+    def infer(self, weights: DataFrame, epochs: int, turn: int) -> tuple[DataFrame, DataFrame]:
+        out = self._over(weights, "infer", epochs, 0.0, turn)
+        tallies = merge_tallies(out.where("kind = 't'").select(F.col("id").alias("vid"), F.col("a").alias("dense"), F.col("b").alias("n")))
+        return tallies, out.where("kind = 'n'").groupBy(F.col("id").alias("vid")).agg(F.sum("b").alias("n"))
 
-def colouring(graph: FactorGraph, seed: int = 1, max_rounds: int = 50) -> DataFrame:
-    """(vid, colour) so that no factor joins two variables of a colour.
 
-    Each round colours the variables whose hash is the least among their uncoloured neighbours.
+def run_gibbs(graph: FactorGraph, config: GibbsConfig, n_blocks: int = 8, max_edges: int = MAX_EDGES, report: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(weights(wid, w), tallies(vid, dense, n), nsamples(vid, n)) after learning and then inference from its state.
+
+    Components of up to max_edges edges are dealt into n_blocks blocks, a task each; larger ones are
+    swept by joins. Blocks and copies pool their weights every epochs_per_sync epochs: unless given, at
+    each epoch beside swept components, else a twentieth of all epochs with several blocks, which see
+    unlike evidence, and once with a single one. With a list for report, (epochs so far, step, greatest
+    and Euclidean change of the weights over the step) is added to it at each pooling.
     """
-    scratch = Scratch(graph.variables.sparkSession, "colouring")
-    flat = edges(graph).select("fid", "vid")
-    near = flat.alias("a").join(flat.alias("b"), "fid").where("a.vid <> b.vid").select(F.col("a.vid").alias("vid"), F.col("b.vid").alias("other")).distinct()
-    near, left, done = scratch.keep(near), graph.variables.select("vid", F.xxhash64(F.lit(seed), "vid").alias("h")), None
-    for colour in range(max_rounds):
-        rival = near.join(left.select(F.col("vid").alias("other"), F.col("h").alias("oh")), "other").groupBy("vid").agg(F.min("oh").alias("oh"))
-        now = scratch.keep(left.join(rival, "vid", "left").where("oh is null or h < oh").select("vid", F.lit(colour).alias("colour")))
-        done = now if done is None else scratch.keep(done.unionByName(now))
-        left = scratch.keep(left.join(now, "vid", "left_anti"))
-        if left.isEmpty():
-            return done
-    raise RuntimeError("colouring did not finish")
+    scratch = Scratch(graph.variables.sparkSession, "gibbs")
+    copies = max(1, config.n_datacopy)
+    parts = scratch.keep(component_of(graph))
+    small, large = split_by_size(graph, parts, max_edges, scratch)
+    blocks = BlockRun(small, parts, config, n_blocks, scratch) if small else None
+    swept = Sweeps(large, config) if large else None
+    weights = graph.weights.select("wid", F.col("init_value").alias("w"))
+    total = left = -(-config.n_learning_epoch // copies)
+    step, turn = config.first_step, 0
+    between = 1 if swept else config.epochs_per_sync or (left if n_blocks == 1 else max(1, left // 20))
+    while left > 0:
+        epochs, learned = min(left, between), None
+        if blocks:
+            learned = blocks.learn(weights, epochs, step, turn)
+        if swept:
+            more = swept.learn_epoch(weights, step, turn).select("copy", F.lit(-1).cast("bigint").alias("block"), "wid", "w", "n")
+            learned = more if learned is None else learned.unionByName(more)
+        before, weights = weights, scratch.keep(pooled_weights(weights, learned, step))
+        left, turn = left - epochs, turn + 1
+        if report is not None:
+            norms = delta_norms(before, weights, step).first()
+            report.append((total - left, step, norms.lmax, norms.l2))
+        step *= config.diminish**epochs
+    epochs, found = -(-config.n_inference_epoch // copies), []
+    if blocks:
+        found.append(blocks.infer(weights, epochs, turn))
+    if swept:
+        found.append(swept.infer(weights, epochs, turn))
+    tallies, nsamples = found[0] if len(found) == 1 else (found[0][0].unionByName(found[1][0]), found[0][1].unionByName(found[1][1]))
+    return weights, tallies, nsamples
 
 
 def chromatic_sweep(graph: FactorGraph, assignment: DataFrame, weights: DataFrame, colours: DataFrame, seed: int, epoch: int, sample_evidence: bool = False) -> DataFrame:
