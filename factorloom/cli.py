@@ -13,6 +13,7 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from factorloom.operators import gibbs, graph, relational
 from factorloom.operators.graph import FactorGraph
@@ -40,8 +41,8 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("-l", "--n_learning_epoch", type=int, required=True)
     g.add_argument("-i", "--n_inference_epoch", type=int, required=True)
     g.add_argument("--burn_in", type=int, default=0)
-    g.add_argument("-c", "--n_datacopy", type=int, default=1)
-    g.add_argument("-t", "--n_threads", type=int, default=0, help="blocks that the graph is dealt into; 0: as its size asks")
+    g.add_argument("-c", "--n_datacopy", type=int, default=0, help="copies of the graph; 0: one for each executor")
+    g.add_argument("-t", "--n_threads", type=int, default=0, help="blocks that each copy is dealt into, so tasks at once; 0: as its size asks")
     g.add_argument("-a", "--alpha", type=float, default=0.01)
     g.add_argument("-p", "--stepsize", type=float, default=0.01)
     g.add_argument("-d", "--diminish", type=float, default=0.95)
@@ -74,16 +75,23 @@ def load(spark: SparkSession, options: argparse.Namespace) -> FactorGraph:
     return found
 
 
+def executors(spark: SparkSession) -> int:
+    """Executors of the application, the driver left out unless it is alone."""
+    return max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)
+
+
 def run_gibbs(spark: SparkSession, o: argparse.Namespace) -> None:
     began, found = time.monotonic(), load(spark, o)
     names = GibbsConfig.__dataclass_fields__.keys() & vars(o).keys()
-    config = GibbsConfig(**{n: getattr(o, n) for n in names})
-    blocks = o.n_threads or gibbs.block_count(found)
-    weights, tallies, of = gibbs.run_gibbs(found, config, blocks)
+    config = GibbsConfig(**{n: getattr(o, n) for n in names} | {"n_datacopy": o.n_datacopy or executors(spark)})
+    blocks, report = o.n_threads or gibbs.block_count(found), []
+    weights, tallies, of = gibbs.run_gibbs(found, config, blocks, report=report)
     probs = relational.marginals(found, tallies, of, config.sample_evidence) if config.n_inference_epoch else None
     text.write_results(weights, probs, o.outputFile)
     if not o.quiet:
         print(config, *graph.descriptor(found).collect(), sep="\n")
+        for epochs, step, lmax, l2 in report:
+            print(f"LEARNING EPOCH {epochs}: stepsize = {step:.6g}, lmax = {lmax:.6g}, l2 = {l2:.6g}")
         for r in relational.snippet(weights, "wid").collect():
             print(f"   {r.wid} {r.w:.6g}")
         if probs is not None:
@@ -97,7 +105,7 @@ def run_gibbs(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def run_text2bin(spark: SparkSession, o: argparse.Namespace) -> None:
-    """Writes a folder of binary files and the number of records beside it, for factors edges as well."""
+    """Writes a folder of binary files and beside it the number of records, for factors that of edges."""
     if o.kind == "factor":
         func, arity, *equal_to = o.function
         if len(equal_to) != arity:
@@ -107,9 +115,13 @@ def run_text2bin(spark: SparkSession, o: argparse.Namespace) -> None:
     else:
         rows = {"variable": text.read_variables, "weight": text.read_weights, "domain": text.read_domains}[o.kind](spark, o.input)
     binary.write_binary(rows, f"{o.kind}s", o.output)
-    n = rows.count()
-    count = rows.selectExpr(f"'{n}' as records" if o.kind != "factor" else f"concat('{n}', ' ', coalesce(sum(arity), 0)) as records").limit(1)
-    count.withColumnRenamed("records", "value").coalesce(1).write.mode("overwrite").text(o.count)
+    write_count(rows, o.kind, o.count)
+
+
+def write_count(rows, kind: str, path: str) -> None:
+    """The count that a graph's metadata wants: of edges for factors, else of records."""
+    n = F.coalesce(F.sum("arity"), F.lit(0)) if kind == "factor" else F.count("*")
+    rows.agg(n.cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def run_bin2text(spark: SparkSession, o: argparse.Namespace) -> None:

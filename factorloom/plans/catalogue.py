@@ -9,7 +9,7 @@ from factorloom.functions.factors import BY_NAME
 from factorloom.operators import compaction, gibbs, graph, relational
 from factorloom.plans import groundings as ground
 from factorloom.schema import GibbsConfig
-from factorloom.session import Scratch, shared_dir, table
+from factorloom.session import Scratch, table
 from factorloom.sources import binary, text
 
 QUERIES: dict = {}
@@ -316,7 +316,7 @@ def weights_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.snippet(ground.as_w(ground.documents_graph(spark, sf_dir).weights), "wid")
 
 
-# Results of sampling: tallies made from a column stand for a sampler's
+# Results of sampling: tallies made from a column stand for those of a run
 
 TALLY = DOC + """, ta AS (SELECT vid, 1::BIGINT AS dense, sum(n_chars % (20 + 7 * c))::BIGINT AS n FROM dv, (SELECT unnest([0, 1]) AS c) GROUP BY vid),
     ma AS (SELECT vid, 1::BIGINT AS value, round(n / 47::DOUBLE, 6) AS prob FROM ta JOIN dv USING (vid) WHERE NOT is_evid)"""
@@ -400,10 +400,10 @@ def chromatic_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + CONV + " SELECT fid::BIGINT AS fid, pos, vid, equal_to, wid FROM ce")
 def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ground.conversations_graph(spark, sf_dir)
-    path = Scratch(spark, "binary").root.removeprefix("file://")
+    path = _folder(spark)
     numbered = g.factors.select("func", "arity", "vifs", F.col("fid").alias("wid"), F.col("wid").cast("double").alias("feature_value"))
     binary.write_binary(numbered, "factors", path)
-    back = binary.read_binary(spark, "factors", f"file://{path}" if shared_dir(spark).startswith("file:") else path)
+    back = binary.read_binary(spark, "factors", path)
     return back.select(F.col("wid").alias("fid"), F.explode("vifs").alias("e"), F.col("feature_value").cast("bigint").alias("wid")).select("fid", "e.pos", "e.vid", "e.equal_to", "wid")
 
 
@@ -427,6 +427,273 @@ def sinco_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.inverse_covariances(_covariances(spark, sf_dir), lambdas=(0.5, 0.1))
 
 
+# Files: what is written comes back, and text sinks give the very lines
+
+
+def _folder(spark: SparkSession) -> str:
+    return Scratch(spark, "files").root
+
+
+def _binary_back(kind: str, rows):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        binary.write_binary(rows(spark, sf_dir), kind, path)
+        return binary.read_binary(spark, kind, path)
+
+    return run
+
+
+def _text_back(write, read, rows):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        write(rows(spark, sf_dir), path)
+        return read(spark, path)
+
+    return run
+
+
+def _lines(write, rows):
+    return _text_back(write, lambda spark, path: spark.read.text(path), rows)
+
+
+def _seg(part: str):
+    return lambda spark, sf_dir: getattr(ground.segments_graph(spark, sf_dir), part)
+
+
+def _conv(part: str):
+    return lambda spark, sf_dir: getattr(ground.conversations_graph(spark, sf_dir), part)
+
+
+SW = "WITH " + SEG + " SELECT wid, is_fixed, w AS init_value FROM sw"
+SV = "WITH " + SEG + " SELECT vid, is_evid::TINYINT AS role, init::BIGINT AS init_value, 1::SMALLINT AS dtype, 5::BIGINT AS cardinality FROM sv"
+CD = "WITH " + CONV + " SELECT vid, count(*) OVER (PARTITION BY vid) AS cardinality, value, 0.0::DOUBLE AS truthiness FROM cd"
+CF = "WITH " + CONV + """, w AS (SELECT fid, wid, list(vid ORDER BY pos) AS vids, list(equal_to ORDER BY pos) AS eqs FROM ce GROUP BY ALL)"""
+flat_domains = lambda run: lambda spark, sf_dir: run(spark, sf_dir).select("vid", "cardinality", F.explode("vals").alias("v")).select("vid", "cardinality", "v.value", "v.truthiness")
+
+query(SW, "weights_binary")(_binary_back("weights", _seg("weights")))
+query(SV, "variables_binary")(_binary_back("variables", _seg("variables")))
+query(CD, "domains_binary")(flat_domains(_binary_back("domains", _conv("domains"))))
+query(SW, "weights_text")(_text_back(text.write_weights, text.read_weights, _seg("weights")))
+query(SV, "variables_text")(_text_back(text.write_variables, text.read_variables, _seg("variables")))
+query(CD, "domains_text")(flat_domains(_text_back(text.write_domains, text.read_domains, _conv("domains"))))
+_TAB = "concat_ws(chr(9), {})".format
+query("WITH " + SEG + f" SELECT {_TAB('wid, is_fixed::INT, w')} AS value FROM sw", "weights_sink")(_lines(text.write_weights, _seg("weights")))
+query("WITH " + SEG + f" SELECT {_TAB('vid, is_evid::INT, init, 1, 5')} AS value FROM sv", "variables_sink")(_lines(text.write_variables, _seg("variables")))
+query("WITH " + CONV + ", l AS (SELECT vid, list(value ORDER BY dense) AS v FROM cd GROUP BY vid) SELECT concat_ws(chr(9), vid, len(v), '{' || list_aggregate(v, 'string_agg', ',') || '}', "
+      "'{' || list_aggregate(list_transform(v, lambda x: '0.0'), 'string_agg', ',') || '}') AS value FROM l", "domains_sink")(_lines(text.write_domains, _conv("domains")))
+query(CF + " SELECT concat_ws(chr(9), list_aggregate(vids, 'string_agg', chr(9)), list_aggregate(eqs, 'string_agg', chr(9)), wid, '1.0') AS value FROM w", "factors_sink")(
+    lambda spark, sf_dir: _lines(text.write_factors, _conv("factors"))(spark, sf_dir).select("value")
+)
+
+
+@query(SW + " UNION ALL " + SW[SW.index("SELECT wid, is_fixed") :])
+def multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [_folder(spark), _folder(spark)]
+    for path in paths:
+        binary.write_binary(ground.segments_graph(spark, sf_dir).weights, "weights", path)
+    return binary.read_binary(spark, "weights", paths)
+
+
+@query("WITH " + CONV + " SELECT count(*)::VARCHAR AS value FROM ce UNION ALL SELECT count(*)::VARCHAR FROM cv")
+def count_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.cli import write_count
+
+    g, path = ground.conversations_graph(spark, sf_dir), _folder(spark)
+    write_count(g.factors, "factor", f"{path}/factors")
+    write_count(g.variables, "variable", f"{path}/variables")
+    return spark.read.text([f"{path}/factors", f"{path}/variables"])
+
+
+@query("WITH " + CONV + " SELECT concat_ws(',', 7, (SELECT count(*) FROM cv), (SELECT count(DISTINCT fid) FROM ce), (SELECT count(*) FROM ce)) AS value")
+def meta_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    text.write_meta(ground.conversations_graph(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@query("WITH " + SEG + f" SELECT {_TAB('wid, is_fixed::INT, w')} AS value FROM sw UNION ALL SELECT {_TAB('vid, is_evid::INT, init, 1, 5')} FROM sv")
+def bin2text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, path = ground.segments_graph(spark, sf_dir), _folder(spark)
+    binary.write_binary(g.weights, "weights", f"{path}/w.bin")
+    binary.write_binary(g.variables, "variables", f"{path}/v.bin")
+    text.write_weights(binary.read_binary(spark, "weights", f"{path}/w.bin"), f"{path}/w")
+    text.write_variables(binary.read_binary(spark, "variables", f"{path}/v.bin"), f"{path}/v")
+    return spark.read.text([f"{path}/w", f"{path}/v"])
+
+
+@query("WITH " + DOC + r" SELECT concat_ws(' ', wid, regexp_replace(printf('%.6f', w), '\.?0+$', '')) AS value FROM dw UNION ALL SELECT concat_ws(' ', vid, 1, regexp_replace(printf('%.6f', (n_chars % 64) / 64.0::DOUBLE), '\.?0+$', '')) FROM dv")
+def result_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned weights and marginals as files, from values with few binary places."""
+    path = _folder(spark)
+    probs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vid"), F.lit(1).cast("bigint").alias("value"), (F.col("n_chars") % 64 / 64.0).alias("prob"))
+    text.write_results(ground.as_w(ground.documents_graph(spark, sf_dir).weights), probs, path)
+    return spark.read.text([f"{path}/inference_result.out.weights.text", f"{path}/inference_result.out.text"])
+
+
+@query("SELECT min(s_suppkey) OVER (PARTITION BY s_nationkey)::BIGINT AS component, s_suppkey::BIGINT AS vid FROM supplier")
+def components_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    lines = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.col("s_suppkey").cast("string")), " ").alias("value"))
+    lines.select("value").write.text(path)
+    return text.read_components(spark, path)
+
+
+@query("SELECT r_regionkey::BIGINT AS sample, n_nationkey::BIGINT AS vid, ((n_nationkey + r_regionkey) % 2)::BIGINT AS value FROM nation, region")
+def samples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, nation = _folder(spark), table(spark, sf_dir, "nation")
+    for i in range(5):
+        nation.select(F.concat_ws(" ", F.col("n_nationkey").cast("string"), ((F.col("n_nationkey") + i) % 2).cast("string")).alias("value")).write.text(f"{path}/{i}")
+    return text.read_samples(spark, [f"{path}/{i}" for i in range(5)])
+
+
+# Whole runs against closed forms: a value within the tolerance of a draw's error shows as the closed form, another as it is
+
+
+def _within(found: str, exact: str, tolerance: float):
+    return (F.round(F.when(F.abs(F.col(found) - F.col(exact)) <= tolerance, F.col(exact)).otherwise(F.col(found)), 6) + 0.0).alias("prob")
+
+
+@query("WITH " + SEG + " SELECT vid, dense AS value, round(prob, 6) + 0.0::DOUBLE AS prob FROM sq JOIN sv USING (vid) WHERE NOT is_evid")
+def gibbs_infer_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginals of variables without neighbours after 4,000 epochs in two copies and three blocks, to 0.06."""
+    g = ground.segments_graph(spark, sf_dir)
+    _, tallies, of = gibbs.run_gibbs(g, GibbsConfig(n_inference_epoch=8000, burn_in=5, n_datacopy=2), n_blocks=3)
+    exact = relational.conditional(g, graph.initial_assignment(g), ground.as_w(g.weights)).select("vid", F.col("dense").alias("value"), F.col("prob").alias("exact"))
+    return relational.marginals(g, tallies, of).join(exact, ["vid", "value"]).select("vid", "value", _within("prob", "exact", 0.06))
+
+
+@query("""WITH v AS (SELECT c_nationkey::BIGINT AS nation, unnest([0, 1, 2, 3, 4])::BIGINT AS value FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0)),
+    n AS (SELECT c_nationkey AS nation, c_custkey % 5 AS value, count(*) AS k FROM customer WHERE c_acctbal > 0 GROUP BY ALL)
+    SELECT nation, value, round(coalesce(k, 0) / sum(coalesce(k, 0)) OVER (PARTITION BY nation), 6) + 0.0::DOUBLE AS prob FROM v LEFT JOIN n USING (nation, value)""")
+def gibbs_learn_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights per nation and segment learnt without penalty: their softmax is the share of each segment in the evidence, to 0.08."""
+    g = ground.segments_graph(spark, sf_dir)
+    blank = graph.FactorGraph(g.weights.withColumn("init_value", F.lit(0.0)), g.variables, g.factors)
+    weights, _, _ = gibbs.run_gibbs(blank, GibbsConfig(n_learning_epoch=400, alpha=0.1, diminish=0.985, reg_param=0.0), n_blocks=1)
+    p = relational.conditional(graph.FactorGraph(weights.selectExpr("wid", "false as is_fixed", "w as init_value"), g.variables, g.factors), graph.initial_assignment(g), weights)
+    c = table(spark, sf_dir, "customer")
+    good = c.where("c_acctbal > 0")
+    each = c.select(F.col("c_custkey").alias("vid"), F.col("c_nationkey").cast("bigint").alias("nation"))
+    learned = p.join(each, "vid").groupBy("nation", F.col("dense").alias("value")).agg(F.avg("prob").alias("prob"))
+    n = good.groupBy(F.col("c_nationkey").cast("bigint").alias("nation"), (F.col("c_custkey") % 5).alias("value")).agg(F.count("*").alias("k"))
+    total = good.groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("all"))
+    rows = learned.join(total, "nation").join(n, ["nation", "value"], "left").withColumn("exact", F.coalesce("k", F.lit(0)) / F.col("all"))
+    return rows.select("nation", "value", _within("prob", "exact", 0.08))
+
+
+_P0 = "1 / (1 + exp(2 * pot))"  # of value 0, whose potential is the negative of the other's
+
+
+@query("WITH " + DOC + f", s AS (SELECT vid, unnest([0, 1, 2]) AS epoch, pot FROM dp JOIN dv USING (vid) WHERE NOT is_evid) SELECT vid, CASE WHEN {_P0} >= {_uniform(1, 'epoch', chr(39) + '0' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'evid' + chr(39), 'vid')} "
+       "THEN 0 ELSE 1 END::BIGINT AS dense, count(*) AS n FROM s GROUP BY ALL")
+def swept_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of three epochs of sweeps by joins."""
+    from factorloom.operators.sweeps import Sweeps
+
+    g = ground.documents_graph(spark, sf_dir)
+    return Sweeps(g, GibbsConfig()).infer(ground.as_w(g.weights), 3)[0]
+
+
+@query("WITH " + DOC + f", s AS (SELECT vid, init, CASE WHEN {_P0} >= {_uniform(1, chr(39) + '0' + chr(39), chr(39) + '0' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'free' + chr(39), 'vid')} "
+       """THEN 0 ELSE 1 END AS free FROM dp JOIN dv USING (vid) WHERE is_evid), t AS (SELECT wid, count(*) AS times, sum(2 * (free - init) * feature) AS g, sum(feature * feature) AS m
+       FROM df JOIN s USING (vid) GROUP BY wid) SELECT wid, round(CASE WHEN m IS NULL OR is_fixed THEN w ELSE w * exp(-times * 0.0001::DOUBLE) - (1 - exp(-0.01::DOUBLE * m)) / m * g END, 5) + 0.0::DOUBLE AS w
+       FROM dw LEFT JOIN t USING (wid)""")
+def swept_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after one epoch of learning by joins."""
+    from factorloom.operators.sweeps import Sweeps
+
+    g = ground.documents_graph(spark, sf_dir)
+    return Sweeps(g, GibbsConfig()).learn_epoch(ground.as_w(g.weights), 0.01, 0).select("wid", (F.round("w", 5) + 0.0).alias("w"))
+
+
+@query("WITH " + DOC + f" SELECT vid, CASE WHEN is_evid THEN init WHEN {_P0} >= {_uniform(1, chr(39) + '0' + chr(39), chr(39) + '0' + chr(39), 'vid')} THEN 0 ELSE 1 END::BIGINT AS dense FROM dv JOIN dp USING (vid)")
+def chromatic_sweep_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sweep of variables without neighbours, which are all of one colour."""
+    g = ground.documents_graph(spark, sf_dir)
+    return gibbs.chromatic_sweep(g, graph.initial_assignment(g), ground.as_w(g.weights), gibbs.colouring(g), seed=1, epoch=0)
+
+
+@query("WITH " + COPIES + ", d AS (SELECT copy, wid, w, (wid + copy + 1) * 0.5::DOUBLE AS n, w + copy * 0.1::DOUBLE + 0.2::DOUBLE AS z FROM dw, (SELECT unnest([0, 1, 2]) AS copy)), "
+       "p AS (SELECT wid, any_value(w) AS w, sum(n) AS n, sum(n * (z - w) / (1 - exp(-0.1::DOUBLE * n))) AS s FROM d GROUP BY wid) SELECT wid, round(w + (1 - exp(-0.1::DOUBLE * n)) * s / n, 6) + 0.0::DOUBLE AS w FROM p")
+def weights_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of three blocks of unlike evidence put together."""
+    from factorloom.operators.sweeps import pooled_weights
+
+    before = ground.as_w(ground.documents_graph(spark, sf_dir).weights)
+    blocks = before.withColumn("block", F.explode(F.array(*map(F.lit, range(3)))))
+    learned = blocks.select(F.lit(0).alias("copy"), F.col("block").cast("bigint").alias("block"), "wid", (F.col("w") + F.col("block") * 0.1 + 0.2).alias("w"), ((F.col("wid") + F.col("block") + 1) * 0.5).alias("n"))
+    return pooled_weights(before, learned, 0.1).select("wid", six("w"))
+
+
+SUP = """WITH x AS (SELECT l_orderkey AS s, l_suppkey AS vid, max((l_returnflag = 'R')::INT) AS v FROM lineitem GROUP BY ALL), n AS (SELECT count(DISTINCT s) AS n FROM x)"""
+
+
+@query(SUP + """ SELECT s_nationkey::BIGINT AS component, vid AS vid_i, vid AS vid_j, round(25 / (sum(v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)) + 0.5), 6) AS weight
+    FROM x JOIN supplier ON s_suppkey = vid, n GROUP BY ALL""")
+def sinco_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse covariances under a penalty above every covariance of zeros and ones: a diagonal."""
+    return compaction.inverse_covariances(_covariances(spark, sf_dir), lambdas=(1.0, 0.5)).select("component", "vid_i", "vid_j", six("weight"))
+
+
+PAIRS = """WITH o AS (SELECT o_orderkey AS s, o_orderkey % 7 AS c, (o_orderstatus = 'F')::INT AS x, (o_orderstatus = 'F' OR o_orderkey % 3 = 0)::INT AS y FROM orders), n AS (SELECT count(*) AS n FROM o),
+    m AS (SELECT c, sum(x) / any_value(n) AS mx, sum(y) / any_value(n) AS my, sum(x * y) / any_value(n) AS xy FROM o, n GROUP BY c),
+    a AS (SELECT c, mx - mx * mx + 0.01::DOUBLE AS p, my - my * my + 0.01::DOUBLE AS q, xy - mx * my - 0.01::DOUBLE AS r FROM m)"""
+
+
+def _order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    done = F.col("o_orderstatus") == "F"
+    x, y = done.cast("bigint"), (done | (F.col("o_orderkey") % 3 == 0)).cast("bigint")
+    pair = F.array(F.struct((F.col("o_orderkey") % 7 * 2).alias("vid"), x.alias("value")), F.struct((F.col("o_orderkey") % 7 * 2 + 1).alias("vid"), y.alias("value")))
+    return o.select(F.col("o_orderkey").alias("sample"), F.explode(pair).alias("v")).select("sample", "v.vid", "v.value")
+
+
+@query(PAIRS + """ SELECT (2 * c)::BIGINT AS vid_i, (2 * c + k)::BIGINT AS vid_j, round(CASE k WHEN 0 THEN q ELSE -r END * 25 / (p * q - r * r), 0) AS weight FROM a, (SELECT unnest([0, 1]) AS k)
+    UNION ALL SELECT 2 * c + 1, 2 * c + 1, round(p * 25 / (p * q - r * r), 0) FROM a""")
+def sinco_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of two variables, whose inverse has a closed form: entries within a hundredth show as it, others as they are."""
+    s = _order_samples(spark, sf_dir)
+    cov = compaction.covariances(s, s.select("vid").distinct().withColumn("component", F.floor(F.col("vid") / 2)))
+    cov = Scratch(spark, "pairs").keep(cov)
+    got = compaction.inverse_covariances(cov, lambdas=(0.5, 0.1, 0.01))
+    wide = cov.groupBy("component").agg(*[F.max(F.when((F.col("vid_i") % 2 == i) & (F.col("vid_j") % 2 == j), F.col("cov"))).alias(n) for i, j, n in ((0, 0, "p"), (1, 1, "q"), (0, 1, "r"))])
+    wide = wide.selectExpr("component", "p + 0.01D as p", "q + 0.01D as q", "r - 0.01D as r")
+    own = F.when(F.col("vid_i") != F.col("vid_j"), -F.col("r")).when(F.col("vid_i") % 2 == 0, F.col("q")).otherwise(F.col("p"))
+    exact = own * 25 / (F.col("p") * F.col("q") - F.col("r") * F.col("r"))
+    near = F.abs(F.col("weight") - exact) <= 0.01 * F.abs(exact)
+    return got.join(wide, "component").select("vid_i", "vid_j", F.round(F.when(near, exact).otherwise(F.col("weight")), 0).alias("weight"))
+
+
+@query(PAIRS + """, d AS (SELECT 2 * o_orderkey % 14 AS v, avg((o_orderstatus = 'F')::INT) AS m FROM orders GROUP BY 1 UNION ALL SELECT 2 * o_orderkey % 14 + 1, avg((o_orderstatus = 'F' OR o_orderkey % 3 = 0)::INT) FROM orders GROUP BY 1)
+    SELECT v::BIGINT AS vid_i, v::BIGINT AS vid_j, round(CASE WHEN m > 0.99 THEN 10 WHEN m < 0.01 THEN -10 ELSE ln(m / (1 - m)) END, 0) + 0.0::DOUBLE AS weight FROM d
+    UNION ALL SELECT 2 * c, 2 * c + 1, round(-r * 25 / (p * q - r * r), 0) FROM a""")
+def compact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compacted graph end to end: logits on the diagonal, inverse covariances beside it, to whole numbers."""
+    means = compaction.sample_means(_order_samples(spark, sf_dir))
+    found = compaction.compact_weights(means, sinco_pairs(spark, sf_dir).withColumn("component", F.floor(F.col("vid_i") / 2)))
+    return found.select("vid_i", "vid_j", (F.round("weight", 0) + 0.0).alias("weight"))
+
+
+@query("SELECT concat_ws(' ', n_nationkey, n_nationkey + 1, (n_regionkey - 2) / 4.0::DOUBLE) AS value FROM nation")
+def compact_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, n = _folder(spark), table(spark, sf_dir, "nation")
+    text.write_compact(n.select(F.col("n_nationkey").alias("vid_i"), (F.col("n_nationkey") + 1).alias("vid_j"), ((F.col("n_regionkey") - 2) / 4.0).alias("weight")), path)
+    return spark.read.text(path)
+
+
+@query("WITH " + DOC + " SELECT name AS \"check\", n::BIGINT AS n FROM (VALUES ('variable_ids', 1), ('weight_ids', 1), ('factor_ids', 1), ('arity', 1), ('variable_type', 1), ('edge_value', 1)) t(name, n) "
+       "UNION ALL SELECT 'dangling_variable', count(*) FROM df WHERE vid % 10 = 3 UNION ALL SELECT 'dangling_weight', count(*) FROM df WHERE wid = 8")
+def safety_check_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph broken on purpose: every rule reports it."""
+    g = ground.documents_graph(spark, sf_dir)
+    least = F.col("fid") == 0
+    broken = g.factors.withColumn("arity", F.when(least, 2).otherwise(F.col("arity")).cast("bigint"))
+    vifs = F.transform("vifs", lambda e: F.struct(e["pos"].alias("pos"), e["vid"].alias("vid"), F.when(least, 7).otherwise(e["equal_to"]).cast("bigint").alias("equal_to")))
+    broken = broken.withColumn("vifs", vifs).withColumn("fid", F.col("fid") + 5)
+    variables = g.variables.where("vid % 10 <> 3").withColumn("dtype", F.when(F.col("vid") == 4, 9).otherwise(F.col("dtype")).cast("smallint"))
+    return graph.violations(graph.FactorGraph(g.weights.where("wid <> 8").unionByName(g.weights.where("wid = 0")), variables, broken))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -113,20 +113,18 @@ def write_domains(domains: DataFrame, path: str) -> None:
 
 
 def write_factors(factors: DataFrame, path: str) -> list[tuple[str, int, list[int]]]:
-    """One folder for each (func, values) so that nothing is lost; returns what read_factors takes.
+    """One folder for each (func, values) so that nothing is lost, all written by one job; returns what read_factors takes.
 
-    The number of folders is that of distinct value vectors of non-categorical factors.
+    The number of folders is that of distinct value vectors of non-categorical factors, and the list of them is all that is collected.
     """
     categorical = F.col("func") == FUNCTIONS["and_categorical"]
-    keyed = factors.withColumn("eq", F.when(categorical, F.transform("vifs", lambda v: F.lit(1).cast("bigint"))).otherwise(F.col("vifs.equal_to")))
-    made = []
-    for r in keyed.select("func", "eq").distinct().orderBy("func", "eq").collect():
-        where = f"{path}/func={r.func}-{'_'.join(map(str, r.eq))}"
-        part = keyed.where((F.col("func") == r.func) & (F.col("eq") == F.array(*[F.lit(e).cast("bigint") for e in r.eq])))
-        values = [F.array_join(F.transform("vifs.equal_to", lambda x: x.cast("string")), "\t")] if r.func == FUNCTIONS["and_categorical"] else []
-        write_lines(part, where, F.array_join(F.transform("vifs.vid", lambda x: x.cast("string")), "\t"), *values, F.col("wid"), F.col("feature_value"))
-        made.append((where, r.func, list(r.eq)))
-    return made
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "\t")
+    eq = F.when(categorical, F.transform("vifs", lambda v: F.lit(1).cast("bigint"))).otherwise(F.col("vifs.equal_to"))
+    folder = F.concat(F.col("func").cast("string"), F.lit("-"), F.array_join(F.transform(eq, lambda x: x.cast("string")), "_"))
+    fields = [joined(F.col("vifs.vid")), F.when(categorical, joined(F.col("vifs.equal_to"))), F.col("wid").cast("string"), F.col("feature_value").cast("string")]
+    factors.select(folder.alias("rule"), F.concat_ws("\t", *fields).alias("value")).write.mode("overwrite").partitionBy("rule").text(path)
+    rules = factors.select("func", eq.alias("eq"), folder.alias("rule")).distinct().orderBy("func", "eq").collect()
+    return [(f"{path}/rule={r.rule}", r.func, list(r.eq)) for r in rules]
 
 
 def write_meta(graph, path: str) -> None:

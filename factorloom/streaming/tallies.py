@@ -1,7 +1,7 @@
-"""Tallies of samplers that are still running, as a structured stream.
+"""Tallies of Gibbs runs that are still going, as a structured stream.
 
-Sampler jobs drop files of (vid, dense, n) and (vid, n) rows; the running sums are what merging the
-tallies of finished copies gives in a batch, so marginals can be read while sampling goes on.
+Such jobs drop files of (vid, dense, n) and (vid, n) rows; the running sums are what merging the
+tallies of finished copies gives in a batch, so marginals can be read while drawing goes on.
 """
 
 from __future__ import annotations

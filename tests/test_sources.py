@@ -75,6 +75,29 @@ def test_round_trips(spark, tmp_path):
         assert plain(back.drop("fid")) == plain(f.select(back.drop("fid").columns))
 
 
+def test_files_are_cut_into_splits(spark, tmp_path):
+    g = groundings.orders_graph(spark, SF)
+    binary.write_binary(g.factors.coalesce(1), "factors", str(tmp_path / "one"))
+    files = binary._files(spark, [str(tmp_path / "one")])
+    assert len(files) == 1 and files[0][1] % 74 == 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.input.fileinputformat.split.maxsize", "20000")
+    try:
+        back = binary._fixed(spark, "factors", [files[0][0]], 3)
+        assert back.rdd.getNumPartitions() >= files[0][1] // 20000
+        assert plain(binary.read_binary(spark, "factors", str(tmp_path / "one")).drop("fid")) == plain(g.factors.drop("fid"))
+    finally:
+        conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    mixed = g.factors.limit(5).unionByName(groundings.conversations_graph(spark, SF).factors).unionByName(groundings.documents_graph(spark, SF).factors)
+    binary.write_binary(mixed.coalesce(1), "factors", str(tmp_path / "mixed"))
+    binary.write_binary(g.factors.limit(7).coalesce(1), "factors", str(tmp_path / "mixed2"))
+    both = binary.read_binary(spark, "factors", [str(tmp_path / "mixed"), str(tmp_path / "mixed2")])
+    assert plain(both.drop("fid")) == plain(mixed.unionByName(g.factors.limit(7)).drop("fid")) and both.agg(F.max("fid")).first()[0] == both.count() - 1
+    assert binary.read_binary(spark, "weights", str(tmp_path)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        binary.read_binary(spark, "weights", str(tmp_path / "nowhere"))
+
+
 def test_command_line(spark, tmp_path):
     v = write(tmp_path / "v.tsv", *[f"{i}\t{int(i < 9)}\t{int(i < 8)}\t0\t2" for i in range(18)])
     f, w = write(tmp_path / "f.tsv", *[f"{i}\t0\t1" for i in range(18)]), write(tmp_path / "w.tsv", "0 0 0")
@@ -83,7 +106,7 @@ def test_command_line(spark, tmp_path):
     cli.main(["text2bin", "variable", v, p("v.bin"), p("v.n")], spark)
     cli.main(["text2bin", "weight", w, p("w.bin"), p("w.n")], spark)
     cli.main(["text2bin", "factor", f, p("f.bin"), p("f.n"), "4", "1", "1"], spark)
-    assert spark.read.text(p("f.n")).first()[0] == "18 18" and spark.read.text(p("v.n")).first()[0] == "18"
+    assert spark.read.text(p("f.n")).first()[0] == "18" and spark.read.text(p("v.n")).first()[0] == "18"
     files = ["-m", m, "-v", p("v.bin"), "-f", p("f.bin"), "-w", p("w.bin")]
     cli.main(["gibbs", *files, "-o", p("out"), "-l", "800", "-i", "10", "-l", "1000", "-i", "1000", "--alpha", "0.1", "--diminish", "0.995", "--sample_evidence", "--reg_param", "0"], spark)
     weight = spark.read.text(p("out/inference_result.out.weights.text")).first()[0].split(" ")
