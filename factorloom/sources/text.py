@@ -136,7 +136,7 @@ def write_meta(graph, path: str) -> None:
 
 def write_results(weights: DataFrame, probs: DataFrame, path: str) -> None:
     """Learned weights as `wid value` and marginals as `vid value prob`, both in order of ids."""
-    six = lambda c: F.regexp_replace(F.format_string("%.6g", F.col(c)), r"(\.\d*?)0+$|\.$", "$1")
+    six = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.6g", F.col(c)), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     weights.orderBy("wid").select(F.concat_ws(" ", F.col("wid").cast("string"), six("w")).alias("value")).write.mode("overwrite").text(f"{path}/inference_result.out.weights.text")
     if probs is not None:
         line = F.concat_ws(" ", F.col("vid").cast("string"), F.col("value").cast("string"), six("prob"))
