@@ -34,7 +34,7 @@ CONFIDENCE = 6.0
 TILE_ROWS = 8192
 BITS = 4
 #: Rows of either side that one exact comparison takes at most.
-EXACT_ROWS = 4096
+EXACT_ROWS = 1024
 _STRIP = 256
 _SLACK = 1e-6
 
