@@ -53,7 +53,8 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     position numbers the rows in the order in which docs was written; null where docs isn't read from files.
     """
     placed = mixing.with_place(docs.select("doc_id", "text"), "position")
-    return bpe.bpe_codes(placed, tokenizer_file("word_bpe_49k.json"), carry={"position": "long"}).orderBy("position")
+    codes = bpe.bpe_codes(placed, tokenizer_file("word_bpe_49k.json"), carry={"position": "long"})
+    return Scratch(spark, "bpe").keep(codes).orderBy("position")  # a sort looks at its input twice, texts are encoded once
 
 
 STAGES = [
