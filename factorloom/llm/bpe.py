@@ -119,7 +119,7 @@ class WordBpe(dict):
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids, decoded text)."""
         found = []
-        for piece in self.cut_special.split(text) if self.special else [text]:
+        for piece in self.cut_special.split(text) if any(t in text for t in self.special) else [text]:
             if piece in self.special:
                 found.append((pack("<I", self.special[piece]), piece))
             elif piece:
