@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +35,7 @@ MIN_ROWS = 20
 KEEP_GOOD, CUT_RANGE, PLAIN_CUT, MIN_GOOD = 0.99, (0.05, 0.95), 0.5, 50
 STEPS, RATE, MOMENTUM, DAMP, SPARSE = 200, 0.1, 0.8, 0.01, 0.0015
 _CACHE_WORDS = 200_000
+_ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 SCORED = "p0 double, p1 double, p2 double, expected_grade double, tail_prob double"
 
 
@@ -43,6 +45,12 @@ class Features(dict):
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bytes]:
         if len(self) >= _CACHE_WORDS:
             self.clear()
+        if word.isascii():  # the same in bytes
+            low = word.lower()
+            kind = b"U" if low != word and word.upper() == word else b"l" if word.isalpha() else b"x"
+            shape = b"^" + kind + low.translate(None, _ALNUM)[-2:]
+            made = self[word] = (tuple([crc32(x) % BUCKETS for x in {low, low[:3] + b"*", low[:4] + b"*", low[:5] + b"*"}]), shape)
+            return made
         text = word.decode("utf-8")
         low = text.lower()
         kind = "U" if low != text and text.upper() == text else "l" if text.isalpha() else "x"
@@ -56,16 +64,17 @@ class Features(dict):
         total = sum(words.values())
         if not total:
             return np.array([crc32(b"^empty") % BUCKETS], dtype=np.int32)
-        found: set[int] = set()
-        shapes: Counter = Counter()
-        for word, n in words.items():
-            ids, shape = self[word]
-            found.update(ids)
-            shapes[shape] += n
+        known = [self[word] for word in words]
+        found = set(chain.from_iterable([ids for ids, _ in known]))
+        shapes: dict[bytes, int] = {}
+        for (_, shape), n in zip(known, words.values(), strict=True):
+            shapes[shape] = shapes.get(shape, 0) + n
         for shape, n in shapes.items():
             found.add(crc32(b"%s%d" % (shape, 4 * n // total)) % BUCKETS)
         found.add(crc32(b"^distinct%d" % (8 * len(words) // total)) % BUCKETS)
-        return np.fromiter(sorted(found), dtype=np.int32, count=len(found))
+        made = np.fromiter(found, dtype=np.int32, count=len(found))
+        made.sort()
+        return made
 
 
 def grades(labels: DataFrame) -> DataFrame:
