@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from factorloom.operators.components import connected_components
 from factorloom.session import Scratch
 
+#: Variables of a tile and samples of a chunk when products are summed.
+TILE, CHUNK = 256, 4096
+#: Variables of a part whose matrices one task holds; wider parts are solved by joins.
+MAX_PART = 1000
 
 def sample_means(samples: DataFrame) -> DataFrame:
     """(vid, mean) of samples(sample, vid, value)."""
@@ -21,24 +25,58 @@ def clamped_logit(mean: Column) -> Column:
     return F.when(mean > 0.99, 10.0).when(mean < 0.01, -10.0).otherwise(F.ln(mean / (1 - mean)))
 
 
+def _tiled(components: DataFrame) -> DataFrame:
+    """components with each variable's tile and the number of tiles; a tile has TILE variables on average."""
+    sizes = components.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("tiles"))
+    return components.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("vid"), F.col("tiles")))
+
+
+def _products(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of products over the samples of a chunk, for each pair of variables that two tiles hold."""
+    vids, v = np.unique(rows["vid"].to_numpy(), return_inverse=True)
+    samples, s = np.unique(rows["sample"].to_numpy(), return_inverse=True)
+    values, tile = np.zeros((len(vids), len(samples))), np.zeros(len(vids), np.int64)
+    np.add.at(values, (v, s), rows["value"].to_numpy(float))
+    tile[v] = rows["tile"].to_numpy()
+    t1, t2 = rows["t1"].iloc[0], rows["t2"].iloc[0]
+    first, second = np.flatnonzero(tile == t1), np.flatnonzero(tile == t2)
+    sums = values[first] @ values[second].T
+    i, j = np.nonzero(np.triu(sums) if t1 == t2 else sums)
+    x, y = vids[first[i]], vids[second[j]]
+    return pd.DataFrame({"vid_i": np.minimum(x, y), "vid_j": np.maximum(x, y), "s": sums[i, j]})
+
+
 def covariances(samples: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, vid_i, vid_j, cov) for all pairs of a component with vid_i <= vid_j; a sample without a row for a variable has it at 0."""
-    rows = samples.join(components, "vid")
+    """(component, vid_i, vid_j, cov) for all pairs of a component with vid_i <= vid_j; a sample without a row for a variable has it at 0.
+
+    Products are summed by matrices of two tiles of variables and CHUNK samples each, so neither a
+    large component nor a sample with many variables makes a large group, and what is shuffled grows
+    with the pairs and chunks, not with pairs times samples.
+    """
+    known = Scratch(samples.sparkSession, "covariances").keep(_tiled(components))
     n = samples.agg(F.count_distinct("sample").alias("n"))
-    mean = rows.groupBy("vid").agg(F.sum("value").alias("s")).join(n).select("vid", (F.col("s") / F.col("n")).alias("mean"))
-    both = rows.alias("a").join(rows.alias("b"), ["sample", "component"]).where("a.vid <= b.vid")
-    both = both.groupBy(F.col("a.vid").alias("vid_i"), F.col("b.vid").alias("vid_j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("s"))
-    known = components.join(mean, "vid")
-    pairs = known.select("component", F.col("vid").alias("vid_i"), F.col("mean").alias("mi")).join(known.select("component", F.col("vid").alias("vid_j"), F.col("mean").alias("mj")), "component")
-    pairs = pairs.where("vid_i <= vid_j").join(both, ["vid_i", "vid_j"], "left").join(n)
-    return pairs.select("component", "vid_i", "vid_j", (F.coalesce("s", F.lit(0)) / F.col("n") - F.col("mi") * F.col("mj")).alias("cov"))
-
-
-def _best_steps(c: np.ndarray, w: np.ndarray, a: np.ndarray, penalty: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the step that gains most when it and its mirror move alone, and that gain."""
-    d = np.diag(w)
-    diagonal = np.eye(len(c), dtype=bool)
-    dd = np.outer(d, d)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    t1, t2 = F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2")
+    rows = samples.join(known, "vid")
+    means = rows.groupBy("vid").agg(F.sum("value").alias("s")).join(n).select("vid", (F.col("s") / F.col("n")).alias("mean"))
+    chunk = F.pmod(F.xxhash64("sample"), F.ceil(F.col("n") / F.lit(CHUNK))).alias("chunk")
+    dealt = rows.join(n).select("component", "vid", "sample", F.col("value").cast("double").alias("value"), "tile", chunk, other).select("*", t1, t2)
+    sums = dealt.groupBy("component", "t1", "t2", "chunk").applyInPandas(_products, "vid_i long, vid_j long, s double")
+    sums = sums.groupBy("vid_i", "vid_j").agg(F.sum("s").alias("s"))
+    placed = known.join(means, "vid").select("component", "vid", "mean", "tile", other).select("*", t1, t2)
+    left = placed.where("tile = t1").select("component", "t1", "t2", F.col("vid").alias("x"), F.col("mean").alias("mx"))
+    right = placed.where("tile = t2").select("component", "t1", "t2", F.col("vid").alias("y"), F.col("mean").alias("my"))
+    pairs = left.join(right, ["component", "t1", "t2"]).where("t1 < t2 or x <= y")
+    pairs = pairs.select("component", F.least("x", "y").alias("vid_i"), F.greatest("x", "y").alias("vid_j"), (F.col("mx") * F.col("my")).alias("m"))
+    pairs = pairs.join(sums, ["vid_i", "vid_j"], "left").join(n)
+    return pairs.select("component", "vid_i", "vid_j", (F.coalesce("s", F.lit(0.0)) / F.col("n") - F.col("m")).alias("cov"))
+
+
+def _best_steps(c: np.ndarray, w: np.ndarray, a: np.ndarray, penalty: np.ndarray, k: float, dd: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the step that gains most when it and its mirror move alone, and that gain.
+
+    w: the inverse of c, dd: products of its diagonal; all arrays of one shape, a matrix or some of its entries.
+    """
     best, gain = np.zeros_like(c), np.zeros_like(c)
 
     def value(t):
@@ -77,7 +115,8 @@ def sparse_inverse(a: np.ndarray, penalty: np.ndarray, k: float, c: np.ndarray |
     c = np.eye(n) if c is None else c.copy()
     w, gained = np.linalg.inv(c), 0.0
     for step in range(max_steps):
-        t, gain = _best_steps(c, w, a, penalty, k)
+        d = np.diag(w)
+        t, gain = _best_steps(c, w, a, penalty, k, np.outer(d, d), np.eye(n, dtype=bool))
         i, j = np.unravel_index(np.argmax(gain), gain.shape)
         if gain[i, j] <= tol * max(1.0, abs(gained)):
             break
@@ -100,12 +139,76 @@ def penalty_parts(cov: DataFrame, penalty: float) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("vid"), F.col("component").alias("part"))
 
 
-def inverse_covariances(cov: DataFrame, lambdas: tuple = tuple(range(200, 0, -10)), k: float = 25.0) -> DataFrame:
+def _step_udf(penalty: float, k: float):
+    """_best_steps of single entries: (t, gain) from c, w, a, dd and whether the entry is diagonal."""
+
+    @F.pandas_udf("t double, gain double")
+    def step(c: pd.Series, w: pd.Series, a: pd.Series, dd: pd.Series, diagonal: pd.Series) -> pd.DataFrame:
+        t, gain = _best_steps(c.to_numpy(), w.to_numpy(), a.to_numpy(), np.full(len(c), penalty), k, dd.to_numpy(), diagonal.to_numpy(bool))
+        return pd.DataFrame({"t": t, "gain": gain})
+
+    return step
+
+
+def _wide_inverse(cov: DataFrame, lambdas: tuple, k: float, tol: float = 1e-7) -> DataFrame:
+    """What sparse_inverse gives, for parts too wide for a task: cov(component, part, vid_i, vid_j, cov) with vid_i <= vid_j.
+
+    Entries are rows (part, i, j) with their c, w, a and the diagonal of w. A round scores every entry,
+    takes the best one of each part by an aggregate, and brings the inverse up to date by joins with
+    the two columns of w that the move touches. A part moves one entry a round.
+    """
+    scratch = Scratch(cov.sparkSession, "wide-inverse")
+    one = F.lit(1.0)
+    upper = cov.select("component", "part", F.col("vid_i").alias("i"), F.col("vid_j").alias("j"), F.col("cov").alias("a"))
+    whole = upper.unionByName(upper.where("i < j").select("component", "part", F.col("j").alias("i"), F.col("i").alias("j"), "a"))
+    unit = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    kept = scratch.keep(whole.select("*", unit.alias("c"), unit.alias("w"), one.alias("di"), one.alias("dj"), F.lit(0.0).alias("gained")))
+    for penalty in lambdas:
+        state = kept.withColumn("gained", F.lit(0.0))
+        step = _step_udf(float(penalty), k)
+        while True:
+            scored = state.where("i <= j").select("part", "i", "j", "gained", step("c", "w", "a", F.col("di") * F.col("dj"), F.col("i") == F.col("j")).alias("s"))
+            best = scored.groupBy("part").agg(F.max(F.struct("s.gain", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "s.t", "gained")).alias("b"))
+            best = best.where(F.col("b.gain") > tol * F.greatest(one, F.col("b.gained")))
+            best = scratch.keep(best.select("part", (-F.col("b.i")).alias("p"), (-F.col("b.j")).alias("q"), F.col("b.t").alias("t"), F.col("b.gain").alias("gain")))
+            if best.isEmpty():
+                scratch.drop(best)
+                break
+            # the two columns of w that the move touches, and w at the moved entry
+            columns = state.join(best, "part").where("j = p or j = q").groupBy("part", F.col("i").alias("x")).agg(
+                F.max(F.when(F.col("j") == F.col("p"), F.col("w"))).alias("u"), F.max(F.when(F.col("j") == F.col("q"), F.col("w"))).alias("v"))
+            moved = state.where("i <= j").join(best, "part").where("i = p and j = q").select("part", "p", "q", "t", "gain", F.col("w").alias("wpq"), F.col("di").alias("wpp"), F.col("dj").alias("wqq"))
+            rows = state.join(moved, "part", "left")
+            for side in ("i", "j"):
+                rows = rows.join(columns.select("part", F.col("x").alias(side), F.col("u").alias(f"u{side}"), F.col("v").alias(f"v{side}")), ["part", side], "left")
+            t, wpq, wpp, wqq = F.col("t"), F.col("wpq"), F.col("wpp"), F.col("wqq")
+            det = wpp * wqq - (wpq + 1 / t) * (wpq + 1 / t)
+
+            def change(x: tuple, y: tuple, det=det, t=t, wpq=wpq, wpp=wpp, wqq=wqq) -> Column:
+                """How much w at (i, j) falls: x, y are the touched columns' entries in rows i and j."""
+                single = x[0] * y[0] * t / (1 + t * wpp)
+                double = (x[0] * y[0] * wqq - (x[0] * y[1] + x[1] * y[0]) * (wpq + 1 / t) + x[1] * y[1] * wpp) / det
+                return F.coalesce(F.when(F.col("p") == F.col("q"), single).otherwise(double), F.lit(0.0))
+
+            at = {side: (F.col(f"u{side}"), F.col(f"v{side}")) for side in ("i", "j")}
+            hit = ((F.col("i") == F.col("p")) & (F.col("j") == F.col("q"))) | ((F.col("i") == F.col("q")) & (F.col("j") == F.col("p")))
+            new = scratch.keep(rows.select(
+                "component", "part", "i", "j", "a", (F.col("c") + F.when(hit, t).otherwise(0.0)).alias("c"), (F.col("w") - change(at["i"], at["j"])).alias("w"),
+                (F.col("di") - change(at["i"], at["i"])).alias("di"), (F.col("dj") - change(at["j"], at["j"])).alias("dj"),
+                (F.col("gained") + F.coalesce("gain", F.lit(0.0))).alias("gained"),
+            ))
+            scratch.drop(kept)
+            scratch.drop(best)
+            state = kept = new
+    return kept.where("i <= j and abs(c) > 1e-12").select("component", F.col("i").alias("vid_i"), F.col("j").alias("vid_j"), F.col("c").alias("weight"))
+
+
+def inverse_covariances(cov: DataFrame, lambdas: tuple = tuple(range(200, 0, -10)), k: float = 25.0, max_part: int = MAX_PART) -> DataFrame:
     """(component, vid_i, vid_j, weight): entries that aren't zero, over a falling path of penalties with warm starts.
 
     A component falls into the parts that covariances over the last penalty connect, which is exact:
     at the optimum every entry between two parts is zero. A variable alone has a closed form. The
-    matrix of a part with several variables is one task's, and nothing bounds its size.
+    matrices of a part of up to max_part variables are one task's; wider parts are solved by joins.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,14 +222,19 @@ def inverse_covariances(cov: DataFrame, lambdas: tuple = tuple(range(200, 0, -10
         i, j = np.nonzero(np.triu(np.abs(c) > 1e-12))
         return pd.DataFrame({"component": rows["component"].iloc[0], "vid_i": vids[i], "vid_j": vids[j], "weight": c[i, j]})
 
-    cov = Scratch(cov.sparkSession, "inverse").keep(cov.select("component", "vid_i", "vid_j", "cov"))
-    parts = penalty_parts(cov, float(lambdas[-1]))
+    scratch = Scratch(cov.sparkSession, "inverse")
+    cov = scratch.keep(cov.select("component", "vid_i", "vid_j", "cov"))
+    parts = scratch.keep(penalty_parts(cov, float(lambdas[-1])))
+    parts = parts.join(parts.groupBy("part").agg((F.count("*") > max_part).alias("wide")), "part")
     rows = cov.join(parts.withColumnRenamed("vid", "vid_i"), "vid_i", "left")
     together = rows.join(parts.select(F.col("vid").alias("vid_j"), F.col("part").alias("_other")), "vid_j").where("part = _other")
-    solved = together.groupBy("component", "part").applyInPandas(solve, "component long, vid_i long, vid_j long, weight double")
+    solved = together.where("not wide").groupBy("component", "part").applyInPandas(solve, "component long, vid_i long, vid_j long, weight double")
     r = F.col("cov") + float(lambdas[-1])
     alone = rows.where("part is null and vid_i = vid_j").select("component", "vid_i", "vid_j", F.when(r > 0, k / r).otherwise(1.0).alias("weight"))
-    return solved.unionByName(alone)
+    found = solved.unionByName(alone)
+    if parts.where("wide").isEmpty():
+        return found
+    return found.unionByName(_wide_inverse(together.where("wide"), lambdas, k))
 
 
 def compact_weights(means: DataFrame, inverse: DataFrame) -> DataFrame:

@@ -193,6 +193,38 @@ def test_compaction_splits_components(spark):
     assert compaction.inverse_covariances(cov.limit(0), (0.5, lam), k).count() == 0
 
 
+def test_wide_parts_by_joins(spark):
+    import numpy as np
+
+    from factorloom.operators import compaction
+
+    a = np.array([[1.0, 0.7, 0, 0, 0], [0.7, 1.5, 0, 0, 0], [0, 0, 2.0, -0.6, 0.05], [0, 0, -0.6, 1.0, 0], [0, 0, 0.05, 0, 1.0]])
+    cov = spark.createDataFrame([(1, i, j, float(a[i, j])) for i in range(5) for j in range(i, 5)], "component long, vid_i long, vid_j long, cov double")
+    got = {(r.vid_i, r.vid_j): r.weight for r in compaction.inverse_covariances(cov, (0.3,), 1.0, max_part=1).collect()}
+    c = compaction.sparse_inverse(a, np.full_like(a, 0.3), 1.0)
+    want = {(i, j): c[i, j] for i in range(5) for j in range(i, 5) if abs(c[i, j]) > 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 5e-3 for p in want) and (2, 3) in got
+
+
+def test_covariances_by_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from factorloom.operators import compaction
+
+    monkeypatch.setattr(compaction, "TILE", 2)
+    monkeypatch.setattr(compaction, "CHUNK", 3)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (17, 9)).astype(float)
+    rows = [(s, v, float(x[s, v])) for s in range(17) for v in range(9) if x[s, v] or (s + v) % 2]
+    samples = spark.createDataFrame(rows, "sample long, vid long, value double")
+    parts = spark.createDataFrame([(v, v // 7) for v in range(9)], "vid long, component long")
+    got = {(r.component, r.vid_i, r.vid_j): r.cov for r in compaction.covariances(samples, parts).collect()}
+    a = x.T @ x / 17 - np.outer(x.mean(0), x.mean(0))
+    want = {(i // 7, i, j): a[i, j] for i in range(9) for j in range(i, 9) if i // 7 == j // 7}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert compaction.covariances(samples.limit(0), parts).count() == compaction.covariances(samples, parts.limit(0)).count() == 0
+
+
 def test_compaction_files(spark, tmp_path):
     parts = text.read_components(spark, write(tmp_path / "c", "3 1 2", "9"))
     assert sorted(map(tuple, parts.collect())) == [(1, 1), (1, 2), (1, 3), (9, 9)]
