@@ -34,6 +34,32 @@ def test_token_counts_equal_a_unigram_library(spark):
     assert odd <= len(words) // 200 and known
 
 
+def test_token_counts_of_documents(spark):
+    """Every document's count against the same recurrence written out for each word apart, over every piece length."""
+    scores = token_counts.piece_scores(PIECES)
+    unknown, longest, counted = min(scores.values()) - token_counts.UNKNOWN_PENALTY, max(map(len, scores)), {}
+
+    def count(word):
+        if word not in counted:
+            best = [(0.0, 0)]
+            for end in range(1, len(word) + 1):
+                ways = [(best[end - n][0] + scores[word[end - n : end]], -best[end - n][1] - 1) for n in range(1, min(end, longest) + 1) if word[end - n : end] in scores]
+                if word[end - 1] not in scores:
+                    ways.append((best[end - 1][0] + unknown, -best[end - 1][1] - len(word[end - 1].encode())))
+                top = max(ways)
+                best.append((top[0], -top[1]))
+            counted[word] = best[-1][1]
+        return counted[word]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_chars) for r in token_counts.token_counts(docs.repartition(5), PIECES).collect()}
+    want = {}
+    for d in docs.collect():
+        words = ["▁" + w.decode() for w in (d.text or "").encode().split()]
+        want[d.doc_id] = (len(words), sum(map(count, words)), len(d.text or ""))
+    assert got == want
+
+
 def test_token_counts_odd(spark):
     got = {(r.doc_id, r.n_words) for r in token_counts.token_counts(with_clashes(docs_of(spark, ODD)), PIECES).collect()}
     assert {(2, 0), (3, 0), (4, 0), (5, 1), (None, 6), (8, 30_000), (9, 1)} <= got
