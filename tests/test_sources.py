@@ -198,7 +198,7 @@ def test_wide_parts_by_joins(spark):
 
     from factorloom.operators import compaction
 
-    a = np.array([[1.0, 0.7, 0, 0, 0], [0.7, 1.5, 0, 0, 0], [0, 0, 2.0, -0.6, 0.05], [0, 0, -0.6, 1.0, 0], [0, 0, 0.05, 0, 1.0]])
+    a = np.array([[1.0, 0.7, 0, 0, 0], [0.7, 1.5, 0, 0, 0], [0, 0, 2.0, -0.6, 0.4], [0, 0, -0.6, 1.0, 0], [0, 0, 0.4, 0, 1.0]])
     cov = spark.createDataFrame([(1, i, j, float(a[i, j])) for i in range(5) for j in range(i, 5)], "component long, vid_i long, vid_j long, cov double")
     got = {(r.vid_i, r.vid_j): r.weight for r in compaction.inverse_covariances(cov, (0.3,), 1.0, max_part=1).collect()}
     c = compaction.sparse_inverse(a, np.full_like(a, 0.3), 1.0)
