@@ -33,7 +33,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(whole(spark, sf_dir, "documents"))
+    scores = lm_score.lm_scores(whole(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,41 @@ QUERIES = {
 
 _NO_SPACE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
+#: Characters that op2 strips from lines: space, tab, line feed, vertical tab, form feed, carriage return.
+_STRIPPED = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: CRC-32 (reflected polynomial 0xEDB88320) over the bits of doc_id as text, lowest bit of each byte first.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(strlen(coalesce(doc_id::VARCHAR, ''))), lambda i:
+            list_transform(range(8), lambda j: (ascii(substr(coalesce(doc_id::VARCHAR, ''), (i + 1)::BIGINT, 1))::BIGINT >> j) & 1))),
+            lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+
 ORACLE_SQL = {
+    # of rows that share a doc_id, this takes any order; the operator tells them apart by a hash of the text
+    "op2_line_dedup": rf"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d WHERE text <> ''),
+        t AS (SELECT *, trim(line, {_STRIPPED}) AS body FROM l),
+        r AS (SELECT *, body <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id ASC NULLS FIRST, place) > 1 AS dead FROM t),
+        k AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dead), '') AS text, count(*) AS n_lines,
+                     count(*) FILTER (dead) AS n_deleted FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(k.text, d.text) AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted
+        FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id""",
+    # ' ' stands for the end of a text and a line feed for its start: no word holds either
+    "op3_lm_score": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC32} % 5 = 1 AS held_out, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        t AS (SELECT r, held_out, unnest(list_append(words, ' ')) AS w, unnest(list_prepend(chr(10), words)) AS h FROM d),
+        ones AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        befores AS (SELECT h, count(*) AS c FROM t WHERE NOT held_out GROUP BY h),
+        twos AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+        n AS (SELECT coalesce(sum(c), 0)::BIGINT AS tokens, count(*) AS distinct_words FROM ones),
+        p AS (SELECT r, ones.c IS NOT NULL AS known, (coalesce(ones.c, 0) + 0.5::DOUBLE) / (tokens + 0.5::DOUBLE * (distinct_words + 1)) AS base,
+                     coalesce(twos.c, 0) AS seen, coalesce(befores.c, 0) AS before
+              FROM t CROSS JOIN n LEFT JOIN ones ON t.w = ones.w LEFT JOIN befores ON t.h = befores.h LEFT JOIN twos ON t.h = twos.h AND t.w = twos.w),
+        s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, fsum(log10(base)) AS base_score,
+                     fsum(log10((seen + {lm_score.MU}::DOUBLE * base) / (before + {lm_score.MU}::DOUBLE))) AS score FROM p GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, tokens AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+        FROM d JOIN s ON d.r = s.r CROSS JOIN n""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NO_SPACE}) AS text_sha256 FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST) AS keep_id,

@@ -7,9 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from factorloom.llm import lm_score
+from factorloom.llm import lm_score, queries
 from tests.conftest import SF
-from tests.llm.util import ODD, docs_of, with_clashes
+from tests.llm.util import ODD, docs_of, duck, same, with_clashes
 
 
 def slow(rows, mu):
@@ -60,3 +60,10 @@ def test_every_state_sums_to_one():
         gained, _ = model.step(np.full(len(some), state), some)
         unknown = 0.5 / (n + 0.5 * (v + 1)) * 10 ** model.fail[state]
         assert abs((10.0**gained).sum() + unknown - 1) < 1e-9
+
+
+def test_query_equals_sql(spark, tmp_path):
+    docs_of(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (SF, str(tmp_path)):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        same(queries.op3_lm_score(spark, folder).toPandas(), duck(queries.ORACLE_SQL["op3_lm_score"], documents=docs))
