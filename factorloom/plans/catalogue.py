@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.factors import BY_NAME
@@ -546,25 +546,26 @@ def samples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_samples(spark, [f"{path}/{i}" for i in range(5)])
 
 
-# Whole runs against closed forms: a value within the tolerance of a draw's error shows as the closed form, another as it is
+# Whole runs against closed forms: what the run should give, and whether it came within the tolerance of a draw's error
 
 
-def _within(found: str, exact: str, tolerance: float):
-    return (F.round(F.when(F.abs(F.col(found) - F.col(exact)) <= tolerance, F.col(exact)).otherwise(F.col(found)), 6) + 0.0).alias("prob")
+def _near(found: str, tolerance: Column | float, digits: int = 6) -> list[Column]:
+    """(exact, near): the closed form in column exact, and whether the run's value lies within the tolerance of it."""
+    return [(F.round("exact", digits) + 0.0).alias("exact"), (F.abs(F.col(found) - F.col("exact")) <= tolerance).alias("near")]
 
 
-@query("WITH " + SEG + " SELECT vid, dense AS value, round(prob, 6) + 0.0::DOUBLE AS prob FROM sq JOIN sv USING (vid) WHERE NOT is_evid")
+@query("WITH " + SEG + " SELECT vid, dense AS value, round(prob, 6) + 0.0::DOUBLE AS exact, true AS near FROM sq JOIN sv USING (vid) WHERE NOT is_evid")
 def gibbs_infer_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marginals of variables without neighbours after 4,000 epochs in two copies and three blocks, to 0.06."""
     g = ground.segments_graph(spark, sf_dir)
     _, tallies, of = gibbs.run_gibbs(g, GibbsConfig(n_inference_epoch=8000, burn_in=5, n_datacopy=2), n_blocks=3)
     exact = relational.conditional(g, graph.initial_assignment(g), ground.as_w(g.weights)).select("vid", F.col("dense").alias("value"), F.col("prob").alias("exact"))
-    return relational.marginals(g, tallies, of).join(exact, ["vid", "value"]).select("vid", "value", _within("prob", "exact", 0.06))
+    return relational.marginals(g, tallies, of).join(exact, ["vid", "value"]).select("vid", "value", *_near("prob", 0.06))
 
 
 @query("""WITH v AS (SELECT c_nationkey::BIGINT AS nation, unnest([0, 1, 2, 3, 4])::BIGINT AS value FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0)),
     n AS (SELECT c_nationkey AS nation, c_custkey % 5 AS value, count(*) AS k FROM customer WHERE c_acctbal > 0 GROUP BY ALL)
-    SELECT nation, value, round(coalesce(k, 0) / sum(coalesce(k, 0)) OVER (PARTITION BY nation), 6) + 0.0::DOUBLE AS prob FROM v LEFT JOIN n USING (nation, value)""")
+    SELECT nation, value, round(coalesce(k, 0) / sum(coalesce(k, 0)) OVER (PARTITION BY nation), 6) + 0.0::DOUBLE AS exact, true AS near FROM v LEFT JOIN n USING (nation, value)""")
 def gibbs_learn_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights per nation and segment learnt without penalty: their softmax is the share of each segment in the evidence, to 0.08."""
     g = ground.segments_graph(spark, sf_dir)
@@ -578,7 +579,7 @@ def gibbs_learn_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = good.groupBy(F.col("c_nationkey").cast("bigint").alias("nation"), (F.col("c_custkey") % 5).alias("value")).agg(F.count("*").alias("k"))
     total = good.groupBy(F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.count("*").alias("all"))
     rows = learned.join(total, "nation").join(n, ["nation", "value"], "left").withColumn("exact", F.coalesce("k", F.lit(0)) / F.col("all"))
-    return rows.select("nation", "value", _within("prob", "exact", 0.08))
+    return rows.select("nation", "value", *_near("prob", 0.08))
 
 
 _P0 = "1 / (1 + exp(2 * pot))"  # of value 0, whose potential is the negative of the other's
@@ -628,11 +629,11 @@ def weights_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUP = """WITH x AS (SELECT l_orderkey AS s, l_suppkey AS vid, max((l_returnflag = 'R')::INT) AS v FROM lineitem GROUP BY ALL), n AS (SELECT count(DISTINCT s) AS n FROM x)"""
 
 
-@query(SUP + """ SELECT s_nationkey::BIGINT AS component, vid AS vid_i, vid AS vid_j, round(25 / (sum(v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)) + 0.5), 6) AS weight
+@query(SUP + """ SELECT s_nationkey::BIGINT AS component, vid AS vid_i, vid AS vid_j, round(25 / (sum(v) / any_value(n) - (sum(v) / any_value(n)) * (sum(v) / any_value(n)) + 10), 6) AS weight
     FROM x JOIN supplier ON s_suppkey = vid, n GROUP BY ALL""")
 def sinco_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverse covariances under a penalty above every covariance of zeros and ones: a diagonal."""
-    return compaction.inverse_covariances(_covariances(spark, sf_dir), lambdas=(1.0, 0.5)).select("component", "vid_i", "vid_j", six("weight"))
+    """Inverse covariances over the whole path of penalties, whose last is above every covariance of zeros and ones: a diagonal."""
+    return compaction.inverse_covariances(_covariances(spark, sf_dir)).select("component", "vid_i", "vid_j", six("weight"))
 
 
 PAIRS = """WITH o AS (SELECT o_orderkey AS s, o_orderkey % 7 AS c, (o_orderstatus = 'F')::INT AS x, (o_orderstatus = 'F' OR o_orderkey % 3 = 0)::INT AS y FROM orders), n AS (SELECT count(*) AS n FROM o),
@@ -648,30 +649,35 @@ def _order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("sample"), F.explode(pair).alias("v")).select("sample", "v.vid", "v.value")
 
 
-@query(PAIRS + """ SELECT (2 * c)::BIGINT AS vid_i, (2 * c + k)::BIGINT AS vid_j, round(CASE k WHEN 0 THEN q ELSE -r END * 25 / (p * q - r * r), 0) AS weight FROM a, (SELECT unnest([0, 1]) AS k)
-    UNION ALL SELECT 2 * c + 1, 2 * c + 1, round(p * 25 / (p * q - r * r), 0) FROM a""")
-def sinco_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of two variables, whose inverse has a closed form: entries within a hundredth show as it, others as they are."""
+def _pair_inverses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The solver's inverse covariances of components of two, and their closed form (vid_i, vid_j, exact)."""
     s = _order_samples(spark, sf_dir)
     cov = compaction.covariances(s, s.select("vid").distinct().withColumn("component", F.floor(F.col("vid") / 2)))
     cov = Scratch(spark, "pairs").keep(cov)
-    got = compaction.inverse_covariances(cov, lambdas=(0.5, 0.1, 0.01))
     wide = cov.groupBy("component").agg(*[F.max(F.when((F.col("vid_i") % 2 == i) & (F.col("vid_j") % 2 == j), F.col("cov"))).alias(n) for i, j, n in ((0, 0, "p"), (1, 1, "q"), (0, 1, "r"))])
     wide = wide.selectExpr("component", "p + 0.01D as p", "q + 0.01D as q", "r - 0.01D as r")
     own = F.when(F.col("vid_i") != F.col("vid_j"), -F.col("r")).when(F.col("vid_i") % 2 == 0, F.col("q")).otherwise(F.col("p"))
-    exact = own * 25 / (F.col("p") * F.col("q") - F.col("r") * F.col("r"))
-    near = F.abs(F.col("weight") - exact) <= 0.01 * F.abs(exact)
-    return got.join(wide, "component").select("vid_i", "vid_j", F.round(F.when(near, exact).otherwise(F.col("weight")), 0).alias("weight"))
+    exact = cov.join(wide, "component").select("vid_i", "vid_j", (own * 25 / (F.col("p") * F.col("q") - F.col("r") * F.col("r"))).alias("exact"))
+    return compaction.inverse_covariances(cov, lambdas=(0.5, 0.1, 0.01)), exact
+
+
+@query(PAIRS + """ SELECT (2 * c)::BIGINT AS vid_i, (2 * c + k)::BIGINT AS vid_j, round(CASE k WHEN 0 THEN q ELSE -r END * 25 / (p * q - r * r), 6) AS exact, true AS near FROM a, (SELECT unnest([0, 1]) AS k)
+    UNION ALL SELECT 2 * c + 1, 2 * c + 1, round(p * 25 / (p * q - r * r), 6), true FROM a""")
+def sinco_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of two variables, whose inverse has a closed form: exact, and whether the solver's entry is within a hundredth of it."""
+    got, exact = _pair_inverses(spark, sf_dir)
+    return got.join(exact, ["vid_i", "vid_j"], "full").select("vid_i", "vid_j", *_near("weight", 0.01 * F.abs("exact")))
 
 
 @query(PAIRS + """, d AS (SELECT 2 * o_orderkey % 14 AS v, avg((o_orderstatus = 'F')::INT) AS m FROM orders GROUP BY 1 UNION ALL SELECT 2 * o_orderkey % 14 + 1, avg((o_orderstatus = 'F' OR o_orderkey % 3 = 0)::INT) FROM orders GROUP BY 1)
-    SELECT v::BIGINT AS vid_i, v::BIGINT AS vid_j, round(CASE WHEN m > 0.99 THEN 10 WHEN m < 0.01 THEN -10 ELSE ln(m / (1 - m)) END, 0) + 0.0::DOUBLE AS weight FROM d
-    UNION ALL SELECT 2 * c, 2 * c + 1, round(-r * 25 / (p * q - r * r), 0) FROM a""")
+    SELECT v::BIGINT AS vid_i, v::BIGINT AS vid_j, round(CASE WHEN m > 0.99 THEN 10 WHEN m < 0.01 THEN -10 ELSE ln(m / (1 - m)) END, 6) + 0.0::DOUBLE AS exact, true AS near FROM d
+    UNION ALL SELECT 2 * c, 2 * c + 1, round(-r * 25 / (p * q - r * r), 6), true FROM a""")
 def compact_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A compacted graph end to end: logits on the diagonal, inverse covariances beside it, to whole numbers."""
-    means = compaction.sample_means(_order_samples(spark, sf_dir))
-    found = compaction.compact_weights(means, sinco_pairs(spark, sf_dir).withColumn("component", F.floor(F.col("vid_i") / 2)))
-    return found.select("vid_i", "vid_j", (F.round("weight", 0) + 0.0).alias("weight"))
+    """A compacted graph end to end: logits on the diagonal, and beside it the closed form and whether the solver's entry is within a hundredth."""
+    got, exact = _pair_inverses(spark, sf_dir)
+    found = compaction.compact_weights(compaction.sample_means(_order_samples(spark, sf_dir)), got)
+    found = found.join(exact.where("vid_i <> vid_j"), ["vid_i", "vid_j"], "full").withColumn("exact", F.coalesce("exact", "weight"))
+    return found.select("vid_i", "vid_j", *_near("weight", 0.01 * F.abs("exact")))
 
 
 @query("SELECT concat_ws(' ', n_nationkey, n_nationkey + 1, (n_regionkey - 2) / 4.0::DOUBLE) AS value FROM nation")
