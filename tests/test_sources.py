@@ -225,6 +225,54 @@ def test_covariances_by_tiles(spark, monkeypatch):
     assert compaction.covariances(samples.limit(0), parts).count() == compaction.covariances(samples, parts.limit(0)).count() == 0
 
 
+def test_covariances_of_sparse_samples(spark, monkeypatch):
+    """Samples of few variables don't cost a matrix for every pair of tiles and chunk of samples."""
+    import numpy as np
+
+    from factorloom.operators import compaction
+
+    monkeypatch.setattr(compaction, "TILE", 2)
+    products = compaction._products
+
+    def dense(rows):
+        if rows["sample"].nunique() != 1:
+            raise AssertionError("a sparse sample in a matrix")
+        return products(rows)
+
+    monkeypatch.setattr(compaction, "_products", dense)
+    monkeypatch.setattr(compaction, "MAX_NARROW", 3, raising=False)
+    x = np.zeros((50, 8))
+    x[np.arange(50), np.arange(50) % 8] = 1.0
+    x[np.arange(50), np.arange(50) * 3 % 8] = 2.0
+    x[7] = np.arange(8) - 3  # the only sample with more than three values
+    rows = [(s, v, float(x[s, v])) for s in range(50) for v in range(8)]
+    samples = spark.createDataFrame(rows, "sample long, vid long, value double")
+    parts = spark.createDataFrame([(v, 0) for v in range(8)], "vid long, component long")
+    got = {(r.vid_i, r.vid_j): r.cov for r in compaction.covariances(samples, parts).collect()}
+    a = x.T @ x / 50 - np.outer(x.mean(0), x.mean(0))
+    assert got.keys() == {(i, j) for i in range(8) for j in range(i, 8)} and all(abs(got[p] - a[p]) < 1e-12 for p in got)
+
+
+def test_inverses_of_samples(spark, monkeypatch):
+    """The same as by all covariances; pairs are made of variables only that can have one over the last penalty."""
+    import numpy as np
+
+    from factorloom.operators import compaction
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 8)) * np.array([1, 1, 0.1, 0.05, 1, 0, 0.2, 3])
+    x[:, 1] += x[:, 0]
+    samples = spark.createDataFrame([(s, v, float(x[s, v])) for s in range(200) for v in range(8)], "sample long, vid long, value double")
+    parts = spark.createDataFrame([(v, v // 7) for v in range(8)], "vid long, component long")
+    asked, made = [], compaction.covariances
+    want = {(r.component, r.vid_i, r.vid_j): r.weight for r in compaction.inverse_covariances(made(samples, parts), (0.5, 0.4), 1.0).collect()}
+    monkeypatch.setattr(compaction, "covariances", lambda s, c: asked.append(sorted(r.vid for r in c.collect())) or made(s, c))
+    got = {(r.component, r.vid_i, r.vid_j): r.weight for r in compaction.sample_inverses(samples, parts, (0.5, 0.4), 1.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want) and (0, 0, 1) in got
+    assert asked == [[0, 1, 4, 7]]
+    assert len(compaction.sample_inverses(samples, parts, (20, 10), 1.0).collect()) == 8 and len(asked) == 1
+
+
 def test_compaction_files(spark, tmp_path):
     parts = text.read_components(spark, write(tmp_path / "c", "3 1 2", "9"))
     assert sorted(map(tuple, parts.collect())) == [(1, 1), (1, 2), (1, 3), (9, 9)]
