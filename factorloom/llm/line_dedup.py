@@ -1,18 +1,17 @@
 """Line dedup by a suffix array over line ids, built by distributed prefix doubling.
 
 Lines get ids in sorted order of their hashes; the suffixes of each document's line sequence are then
-ranked by their first 1, 2, 4, ... lines, each level from pairs of ranks of the level before. Only the
-distinct pairs are sorted, and a pair seen once has no rank: nothing longer that starts there can
-repeat. Suffixes that share a prefix of m lines form one interval of the array whose longest common
-prefix is at least m; two overlapping ranks of a level name it. In each interval the first suffix
-stays, the prefix is deleted from the others.
-
-A repeated run counts if it has at least min_words words, 1 unless given. Every such run is covered by
-the shortest long-enough windows that start at, or end at, one of its lines, and those have at most
-min_words lines since blank lines are passed over. So ranks up to min_words lines find every maximal run
-of any length. At 1 the windows are single lines and nothing is left to double: each line of a later copy
-has an earlier copy itself, and each line that has one lies in a later copy of a maximal run. The
-pipeline's stage asks for STAGE_WORDS.
+ranked by their first 1, 2, 4, ... lines, each level from pairs of ranks of the level before, until no
+pair repeats: the longest repeat of all documents ends it. Only the distinct pairs are sorted, and a
+pair seen once has no rank: nothing longer that starts there can repeat. Suffixes of a rank share a
+prefix of m lines: they form one interval of the array whose longest common prefix is at least m. In
+each interval the first suffix stays, the prefix is deleted from the others. The greatest such m is a
+suffix's reach; a run of n lines is covered by the reaches of its first line and of later ones.
+
+A repeated run counts if it has at least min_words words, 1 unless given. A reach of min_words lines has
+them, since blank lines are passed over. Shorter runs with enough words are found by the shortest
+long-enough windows that start at, or end at, one of their lines; two overlapping ranks name a window.
+At 1 every reach counts and there are no such windows. The pipeline's stage asks for STAGE_WORDS.
 """
 
 from __future__ import annotations
@@ -46,34 +45,47 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(scratch: Scratch, keys: DataFrame, by: list[str], rank: str) -> DataFrame:
-    """Distinct repeated keys with ranks that follow their order; written, so that ranks stay as they are."""
-    return scratch.keep(keys.groupBy(*by).count().where("count > 1").select(*by).orderBy(*by).withColumn(rank, F.monotonically_increasing_id()))
+def suffix_levels(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Of each level j (doc_id, k, pos, r, later): the suffixes whose first 2^j lines occur more than once; level 0 has at and words too.
 
-
-def suffix_ranks(lines: DataFrame, scratch: Scratch, longest: int) -> tuple[DataFrame, int]:
-    """Suffixes whose first line repeats, with run (a stretch of such lines) and ranks r0, r1, ...; the number of levels.
-
-    rj ranks suffixes by their first 2^j lines and is null where those occur once.
+    r names the interval of suffixes that share these lines, in their order; later: it has a suffix
+    before this one in order of doc_id (null first), k, line. The last level is that of the longest repeat.
+    """
+    place, levels = F.struct(*_DOC, "pos"), []
+    rows, by, more = lines, ["a", "b"], ["at", "words"]
+    while True:
+        found = rows.groupBy(*by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = scratch.keep(found.orderBy(*by).withColumn("_r", F.monotonically_increasing_id()))  # written, so that ranks stay as they are
+        if levels and found.isEmpty():
+            return levels
+        rows = scratch.keep(rows.join(found, by).select(*_DOC, "pos", *more, F.col("_r").alias("r"), (place != F.col("first")).alias("later")))
+        levels.append(rows)
+        ahead = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(1 << len(levels) - 1, 1 << len(levels) - 1)
+        rows, by, more = scratch.keep(rows.select(*_DOC, "pos", "r", F.first("r").over(ahead).alias("next")).where("next is not null")), ["r", "next"], []
+
+
+def suffix_reaches(levels: list[DataFrame], ranks: int = 0) -> DataFrame:
+    """(doc_id, k, pos, at, words, reach): suffixes by the longest prefix of 1, 2, 4, ... lines that an earlier suffix has, null for none.
+
+    With ranks, r0, r1, ... of as many levels too; without, suffixes of no reach are left out.
     """
-    first = _ranked(scratch, lines, ["a", "b"], "r0")
-    rows = lines.join(first, ["a", "b"]).drop("a", "b").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("pos")))
-    rows = scratch.keep(rows)
-    inside, level = Window.partitionBy(*_DOC, "run").orderBy("pos"), 0
-    while 2 << level <= longest:
-        now, then = f"r{level}", f"r{level + 1}"
-        rows = scratch.keep(rows.withColumn("_next", F.lead(now, 1 << level).over(inside)))
-        pairs = _ranked(scratch, rows.where(F.col(now).isNotNull() & F.col("_next").isNotNull()), [now, "_next"], then)
-        rows = rows.join(pairs, [now, "_next"], "left").drop("_next")
-        level += 1
-    return scratch.keep(rows), level + 1
+    every = None
+    for j, rows in enumerate(levels):
+        own = {c: F.col(c) if j == 0 else F.lit(None).cast("int") for c in ("at", "words")} | {"level": F.lit(j)}
+        part = (rows if ranks else rows.where("later")).withColumns(own)
+        every = part if every is None else every.unionByName(part)
+    made = [F.max(F.when(F.col("level") == j, F.col("r"))).alias(f"r{j}") for j in range(ranks)]
+    reach = F.max(F.when(F.col("later"), F.pow(F.lit(2), F.col("level")).cast("int")))
+    return every.groupBy(*_DOC, "pos").agg(F.max("at").alias("at"), F.max("words").alias("words"), reach.alias("reach"), *made)
 
 
 def _windows(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
     """(doc_id, k, start, m, x, y, ats): shortest windows of min_words words from each line on and up to each line.
 
-    m: lines in the window; x, y: ranks that together name its lines; ats: the lines' numbers.
+    m: lines in the window; x, y: ranks that together name its lines; ats: the lines' numbers. rows of
+    suffix_reaches with so many levels of ranks.
     """
+    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("pos")))
     inside = Window.partitionBy(*_DOC, "run").orderBy("pos")
     rows = rows.withColumn("upto", F.sum("words").over(inside))
 
@@ -109,12 +121,18 @@ def repeated_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.keep(line_table(docs).dropDuplicates([*_DOC, "pos"]))
-    rows, levels = suffix_ranks(lines, scratch, min_words)
-    windows = scratch.keep(_windows(rows, levels, min_words))
-    place = F.struct(*_DOC, "start")
-    firsts = windows.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["m", "x", "y"]).where(place != F.col("first"))
-    dead = later.select(*_DOC, F.explode("ats").alias("at")).distinct()
+    levels = suffix_levels(lines, scratch)
+    ranks = min(min_words.bit_length(), len(levels)) if min_words > 1 else 0
+    rows = suffix_reaches(levels, ranks)
+    rows = scratch.keep(rows) if ranks else rows
+    upto = F.max(F.when(F.col("reach") >= min_words, F.col("pos") + F.col("reach"))).over(Window.partitionBy(*_DOC).orderBy("pos"))
+    dead = rows.withColumn("upto", upto).where("pos < upto").select(*_DOC, "at")
+    if ranks:
+        windows = scratch.keep(_windows(rows, ranks, min_words))
+        place = F.struct(*_DOC, "start")
+        firsts = windows.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = windows.join(firsts, ["m", "x", "y"]).where(place != F.col("first"))
+        dead = dead.unionByName(later.select(*_DOC, F.explode("ats").alias("at"))).distinct()
     return dead.groupBy(*_DOC).agg(F.collect_list("at").alias("dead"))
 
 

@@ -66,6 +66,27 @@ def test_query_deletes_short_runs(spark, tmp_path):
     assert got[2] == ("own two\n", 2) and got[3] == ("*", 2) and got[4] == ("", 1) and got[8] == ("", 40)
 
 
+def test_query_doubles_to_longest_repeat(spark, tmp_path, monkeypatch):
+    """The query's lines go by intervals of up to the longest repeat; without intervals none goes."""
+    rows = [(1, "\n".join(f"l{x}" for x in range(40))), (2, "own\n" + "\n\n".join(f" l{x}" for x in range(3, 40))), (3, "l5\nl6\nl7\nl8\nl30\nl31\nelse"), (None, "l39")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, make = [], line_dedup.suffix_reaches
+
+    def reaches(levels, ranks=0):
+        seen.append(make(levels, ranks))
+        return seen[-1]
+
+    monkeypatch.setattr(line_dedup, "suffix_reaches", reaches)
+    got = {r.doc_id: r.n_deleted for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 37, 3: 6, None: 0}
+    reach = {(r.doc_id, r.pos): r.reach for r in seen[0].collect()}
+    # 37 lines are alike: 32 of them at the first, a half of what is left at each later one
+    assert [reach[2, p] for p in (1, 6, 7, 21, 22, 30, 36, 37)] == [32, 32, 16, 16, 16, 8, 2, 1]
+    assert [reach[3, p] for p in range(6)] == [4, 2, 2, 1, 2, 1] and reach[1, 39] == 1 and (1, 5) not in reach
+    monkeypatch.setattr(line_dedup, "suffix_reaches", lambda levels, ranks=0: make(levels, ranks).where("false"))
+    assert not any(r.n_deleted for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
+
+
 def test_stage(spark):
     line = "one two three four five six seven eight nine ten eleven"
     docs = docs_of(spark, [(1, line), (2, f"own\n{line}"), (3, line), (4, ""), (5, None)])
