@@ -1,10 +1,10 @@
-"""SimHash near-duplicates: exact fingerprints, tiled exclusive-or comparison, components.
+"""SimHash near-duplicates: exact fingerprints, exact links by masks within pairs of tiles, components.
 
 Fingerprints are made once per text and written down. Equal fingerprints become one row, so a group
-of copies of any size costs a row. Distinct fingerprints go into tiles by population count; tiles
-whose counts differ by more than the radius can't hold a link and never meet. A task reports the
-links of a tile pair as a spanning forest, which keeps every component and is no longer than the
-tiles, however dense the links are.
+of copies of any size costs a row. Distinct fingerprints are dealt to tiles by hash; every two tiles
+meet in one group, whose links are found under masks that can't miss one (hamming.py), so a task holds
+two tiles and doesn't compare all their rows. It reports the links as a spanning forest, which keeps
+every component and is no longer than the tiles, however dense the links are.
 
 A fingerprint has one or more words of 64 bits. The bits of a pair differ with the probability
 arccos(c) / pi, where c is the cosine of the shingle counts, so more words estimate the similarity more
@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.batches import map_batches, texts
-from factorloom.llm.tiles import Forest, make_tiles, pair_tiles
+from factorloom.llm.batches import as_batch, map_batches, texts
+from factorloom.llm.hamming import link_near
+from factorloom.llm.tiles import Forest
 from factorloom.llm.words import lower_words
 from factorloom.operators.components import connected_components
 from factorloom.session import Scratch
@@ -32,11 +33,11 @@ from factorloom.session import Scratch
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE_ROWS = 8192
+#: Rows of a tile at most; smaller tables have up to FEW_TILES tiles of LEAST_ROWS or more, so that there are enough tasks.
+TILE_ROWS, FEW_TILES, LEAST_ROWS = 1 << 18, 8, 2048
 #: The corpus stage: 256 bits of 5-word shingles; a pair of Jaccard similarity 0.8 differs in 39 of them, with deviation 6.
 STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 48
-_STRIP = 128
-_CHUNK = 1 << 16
+_CHUNK = 255 << 4
 
 
 def _word(h: np.ndarray, k: int) -> np.ndarray:
@@ -60,13 +61,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, n_words: int = 1) -> b
     digest = xxhash.xxh64_intdigest
     last = min(shingle, len(words)) - 1
     hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[last:], strict=False)], dtype=np.uint64)
-    ones = np.zeros((n_words, 64), dtype=np.int64)
+    ones = np.zeros(64 * n_words, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
-        for k in range(n_words):
-            bits = np.unpackbits(_word(part, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
-            ones[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1).tobytes()
+        bits = np.unpackbits(np.stack([_word(part, k) for k in range(n_words)], axis=1).astype(">u8").view(np.uint8), axis=1)
+        for few in range(0, len(part), 255):  # a byte counts as far
+            ones += bits[few : few + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, carry: dict | None = None) -> DataFrame:
@@ -81,47 +82,26 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, carr
     return map_batches(docs.select(*columns, "text"), run, "doc_id long, fp binary" + "".join(f", {c} {k}" for c, k in carry.items()))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i, j) of rows a[i], b[j] (each of one or more words) at most radius bits apart, strip by strip; i < j where both are one tile."""
-    for at in range(0, len(a), _STRIP):
-        from_b = at if same else 0
-        apart = np.bitwise_count(a[at : at + _STRIP, 0, None] ^ b[None, from_b:, 0])
-        if a.shape[1] > 1:
-            apart = apart.astype(np.uint16)
-            for k in range(1, a.shape[1]):
-                apart += np.bitwise_count(a[at : at + _STRIP, k, None] ^ b[None, from_b:, k])
-        i, j = np.nonzero(apart <= radius)
-        i, j = i + at, j + from_b
-        yield (i[i < j], j[i < j]) if same else (i, j)
-
-
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, n_words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(u, v): links that connect all rows of distinct(cls, fp) at most `radius` bits apart, a spanning forest per tile pair."""
-    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1 + 4 * half, 4)), 16, 10).cast("long")) for k in range(n_words) for half in (0, 1)), F.lit(0))
-    width = max(1, radius // 4)  # tiles of one small range of counts; those whose ranges lie beyond the radius never meet
-    grouped = distinct.select("cls", "fp", F.floor(ones / width).cast("int").alias("ones"))
-    # at most 64 * n_words + 1 groups
-    tiles = make_tiles(grouped, ["ones"], "cls", F.struct("cls", "fp"), tile_rows, few_groups=True)
-    tiles = Scratch(distinct.sparkSession, "simhash-tiles").keep(tiles)
-    pairs = pair_tiles(tiles, ["ones"], reach=-(-radius // width))
-
-    def arrays(items: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
-        rows = items.values
-        fps = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype=">u8").astype(np.uint64)
-        return rows.field("cls").to_numpy(), fps.reshape(-1, n_words)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for a, b, same in zip(*(batch.column(c) for c in ("a", "b", "same")), strict=True):
-                (ida, a), (idb, b), same = arrays(a), arrays(b), same.as_py()
-                forest, shift = Forest(len(a) if same else len(a) + len(b)), 0 if same else len(a)
-                for i, j in near_pairs(a, b, same, radius):
-                    forest.link(i, j + shift)
-                every = ida if same else np.concatenate([ida, idb])
-                nodes, roots = forest.edges()
-                yield {"u": every[nodes], "v": every[roots]}
-
-    return map_batches(pairs.select("a", "b", "same"), compare, "u long, v long")
+    n, parts = distinct.count(), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tiles = max(1, -(-n // tile_rows), min(FEW_TILES, -(-n // LEAST_ROWS)))
+    first, last = (F.lit(x).cast("long") for x in (0, n_tiles - 1))
+    dealt = distinct.select("cls", "fp", F.pmod(F.xxhash64("cls"), last + 1).alias("tile"), F.explode(F.sequence(first, last)).alias("other"))
+    dealt = dealt.where("tile <> other") if n_tiles > 1 else dealt  # rows of one tile meet with any other
+    pair = (F.least("tile", "other") * n_tiles + F.greatest("tile", "other")).alias("pair")
+    n_pairs = max(1, n_tiles * (n_tiles - 1) // 2)  # ranges finer than the pairs, so that few pairs have a task each
+    meet = dealt.select(pair, "cls", "fp").repartitionByRange(max(parts, 4 * min(n_pairs, FEW_TILES**2)), "pair")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        names = rows["cls"].to_numpy()
+        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, n_words)
+        forest = Forest(len(fps))
+        link_near(fps, radius, forest)
+        nodes, roots = forest.edges()
+        return pa.Table.from_batches([as_batch({"u": names[nodes], "v": names[roots]}, "u long, v long")])
+
+    return meet.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
 def fingerprint_classes(made: DataFrame, first, radius: int, n_words: int, tile_rows: int, scratch: Scratch) -> DataFrame:
