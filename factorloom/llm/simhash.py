@@ -1,10 +1,10 @@
 """SimHash near-duplicates: exact fingerprints, exact links by masks within pairs of tiles, components.
 
 Fingerprints are made once per text and written down. Equal fingerprints become one row, so a group
-of copies of any size costs a row. Distinct fingerprints are dealt to tiles by hash; every two tiles
-meet in one group, whose links are found under masks that can't miss one (hamming.py), so a task holds
-two tiles and doesn't compare all their rows. It reports the links as a spanning forest, which keeps
-every component and is no longer than the tiles, however dense the links are.
+of copies of any size costs a row. Distinct fingerprints are dealt to tiles by hash; any two tiles meet in
+one line of tiles, whose links are found under masks that can't miss one (hamming.py), so a task holds
+a line of bounded size and doesn't compare all its rows. It reports the links as a spanning forest,
+which keeps every component and is no longer than the line, however dense the links are.
 
 A fingerprint has one or more words of 64 bits. The bits of a pair differ with the probability
 arccos(c) / pi, where c is the cosine of the shingle counts, so more words estimate the similarity more
@@ -15,7 +15,8 @@ similarity 0.8 are within; unlike texts differ in half of all bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from factorloom.session import Scratch
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Rows of a tile at most; smaller tables have up to FEW_TILES tiles of LEAST_ROWS or more, so that there are enough tasks.
-TILE_ROWS, FEW_TILES, LEAST_ROWS = 1 << 18, 8, 2048
+#: A line of tiles has about twice TILE_ROWS rows at most; smaller tables have lines of up to FEW_TILES tiles, of LEAST_ROWS rows or so, for enough tasks.
+TILE_ROWS, FEW_TILES, LEAST_ROWS = 1 << 18, 5, 1 << 13
 #: The corpus stage: 256 bits of 5-word shingles; a pair of Jaccard similarity 0.8 differs in 39 of them, with deviation 6.
 STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 48
 _CHUNK = 255 << 4
@@ -83,15 +84,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1, carr
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, n_words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): links that connect all rows of distinct(cls, fp) at most `radius` bits apart, a spanning forest per tile pair."""
+    """(u, v): links that connect all rows of distinct(cls, fp) at most `radius` bits apart, a spanning forest per line of tiles.
+
+    Tiles are the points (x, y) of a plane modulo a prime; of its lines, exactly one holds any two of them.
+    """
     n, parts = distinct.count(), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_tiles = max(1, -(-n // tile_rows), min(FEW_TILES, -(-n // LEAST_ROWS)))
-    first, last = (F.lit(x).cast("long") for x in (0, n_tiles - 1))
-    dealt = distinct.select("cls", "fp", F.pmod(F.xxhash64("cls"), last + 1).alias("tile"), F.explode(F.sequence(first, last)).alias("other"))
-    dealt = dealt.where("tile <> other") if n_tiles > 1 else dealt  # rows of one tile meet with any other
-    pair = (F.least("tile", "other") * n_tiles + F.greatest("tile", "other")).alias("pair")
-    n_pairs = max(1, n_tiles * (n_tiles - 1) // 2)  # ranges finer than the pairs, so that few pairs have a task each
-    meet = dealt.select(pair, "cls", "fp").repartitionByRange(max(parts, 4 * min(n_pairs, FEW_TILES**2)), "pair")
+    least = max(1, -(-n // (2 * tile_rows)), min(FEW_TILES, -(-n // LEAST_ROWS)))
+    side = next(p for p in count(least) if all(p % d for d in range(2, isqrt(p) + 1)))
+    steep = side if side > 1 else 0  # the last slope is that of lines of one x; a lone tile is one line
+    tile = F.pmod(F.xxhash64("cls"), F.lit(side * side).cast("long"))
+    x, y = F.floor(tile / side).cast("long").alias("x"), (tile % side).alias("y")
+    dealt = distinct.select("cls", "fp", x, y, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steep).cast("long"))).alias("slope"))
+    line = F.when(F.col("slope") == side, side * side + F.col("x")).otherwise(F.col("slope") * side + F.pmod(F.col("y") - F.col("slope") * F.col("x"), F.lit(side).cast("long")))
+    n_lines = side * (steep + 1)  # ranges finer than the lines, so that few lines have a task each
+    meet = dealt.select(line.alias("line"), "cls", "fp").repartitionByRange(max(parts, 4 * min(n_lines, 64)), "line")
 
     def compare(rows: pa.Table) -> pa.Table:
         names = rows["cls"].to_numpy()
@@ -101,7 +107,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, n_words: int =
         nodes, roots = forest.edges()
         return pa.Table.from_batches([as_batch({"u": names[nodes], "v": names[roots]}, "u long, v long")])
 
-    return meet.groupBy("pair").applyInArrow(compare, "u long, v long")
+    return meet.groupBy("line").applyInArrow(compare, "u long, v long")
 
 
 def fingerprint_classes(made: DataFrame, first, radius: int, n_words: int, tile_rows: int, scratch: Scratch) -> DataFrame:

@@ -96,3 +96,19 @@ def test_links_of_pairs_of_tiles(spark):
     for i, j in hamming.near_pairs(rows, rows, True, 48):
         want.link(i, j)
     assert (forest.roots(np.arange(len(rows))) == want.roots(np.arange(len(rows)))).all()
+
+
+def test_tiles_meet_in_lines_once_and_few_times_each(spark, monkeypatch):
+    """Any two of the 25 tiles share one task, and a row goes to six tasks; by pairs of tiles of such tasks it went to nine."""
+    met = spark.createDataFrame([(i, bytes(8)) for i in range(500)], "cls long, fp binary")
+    plans = []
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 10)
+    grouped = type(met.groupBy("cls")).applyInArrow
+    monkeypatch.setattr(type(met.groupBy("cls")), "applyInArrow", lambda self, *how: plans.append(self._df) or grouped(self, *how))
+    simhash.fingerprint_links(met)
+    lines = {}
+    for r in plans[0].collect():
+        lines.setdefault(r.line, set()).add(r.cls)
+    of = {c: frozenset(line for line, rows in lines.items() if c in rows) for c in range(500)}
+    assert len(lines) == 30 and len(set(of.values())) == 25 and {len(x) for x in of.values()} == {6}
+    assert all(len(a & b) == 1 for a in set(of.values()) for b in set(of.values()) if a != b)
